@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codestrata.llm import foreign_code
+from codestrata.llm import foreign_code, leaks
 from codestrata.session import table
 
 
@@ -18,6 +19,26 @@ def p2_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("project_key", "reason").count().withColumnRenamed("count", "n_files")
 
 
-QUERIES = {"p2_found": p2_found, "p2_reasons": p2_reasons}
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
+def p6_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, copies and the longest reproduction of each leaked item."""
+    found = leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("length").alias("longest"))
+
+
+def p6_clean_documents(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    found = leaks.leaks(documents, table(spark, folder, "eval_items"))
+    return leaks.without_leaks(documents, found).select("doc_id", "source", "n_chars")
+
+
+QUERIES = {
+    "p6_found": p6_found,
+    "p6_leaked_items": p6_leaked_items,
+    "p6_clean_documents": p6_clean_documents,
+    "p2_found": p2_found, "p2_reasons": p2_reasons}
 
 ORACLE: dict[str, str] = {}
