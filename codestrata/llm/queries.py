@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import foreign_code, leaks
+from codestrata.llm import foreign_code, leaks, sentences
 from codestrata.session import table
 
 
@@ -35,7 +35,12 @@ def p6_clean_documents(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.without_leaks(documents, found).select("doc_id", "source", "n_chars")
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, folder, "documents"))
+
+
 QUERIES = {
+    "p8_found": p8_found,
     "p6_found": p6_found,
     "p6_leaked_items": p6_leaked_items,
     "p6_clean_documents": p6_clean_documents,
