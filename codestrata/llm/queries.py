@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import foreign_code, leaks, sentences
+from codestrata.llm import foreign_code, leaks, mixing, sentences
 from codestrata.session import table
 
 
@@ -35,11 +35,24 @@ def p6_clean_documents(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.without_leaks(documents, found).select("doc_id", "source", "n_chars")
 
 
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    counts = mixing.counted(table(spark, folder, "documents"))
+    return mixing.mixed(counts, table(spark, folder, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    counts = mixing.counted(table(spark, folder, "documents"))
+    targets = table(spark, folder, "mix_targets")
+    return mixing.shares(mixing.quotas(counts, targets), mixing.mixed(counts, targets))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_units(table(spark, folder, "documents"))
 
 
 QUERIES = {
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p6_found": p6_found,
     "p6_leaked_items": p6_leaked_items,
