@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import foreign_code, leaks, mixing, sentences
+from codestrata.llm import foreign_code, leaks, mixing, sentences, syntax
 from codestrata.session import table
 
 
@@ -19,6 +19,14 @@ def p2_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("project_key", "reason").count().withColumnRenamed("count", "n_files")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.syntax_errors(table(spark, folder, "source_records")).where("reason is not null").select("record_id").distinct()
+
+
+def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.error_rates(syntax.syntax_errors(table(spark, folder, "source_records")))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
 
@@ -54,6 +62,8 @@ QUERIES = {
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
     "p8_found": p8_found,
+    "p5_found": p5_found,
+    "p5_rates": p5_rates,
     "p6_found": p6_found,
     "p6_leaked_items": p6_leaked_items,
     "p6_clean_documents": p6_clean_documents,
