@@ -140,6 +140,12 @@ def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, p: float) -> Da
     return placed.where("_upto > _at and _upto - _n <= _at").select(*keys, value)
 
 
+def array_median(values: Column) -> Column:
+    """The median of a sorted array, for frames in which no percentile is to be had."""
+    n = F.size(values)
+    return (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2.0
+
+
 def majority(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """keys, the most frequent value (the smallest of equals) and how often it occurs."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
