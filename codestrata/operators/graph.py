@@ -20,6 +20,7 @@ def build_edges(links: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFram
     known = nodes.select("node").where("node is not null").distinct()
     links = links.where("src is not null and dst is not null").select("src", "dst").distinct()
     links = links.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    links = links.select("src", "dst")
     return links.where("src <> dst"), links.where("src = dst")
 
 

@@ -163,9 +163,10 @@ def rollup_counts(df: DataFrame, first: str, second: str) -> DataFrame:
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """old with the rows of new put in place of those with the same keys."""
-    return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)
+    return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new).select(*old.columns)
 
 
 def replace_scope(old: DataFrame, new: DataFrame, scope: str, changed: DataFrame) -> DataFrame:
     """old without the rows of the changed scopes, and the rows of new in those scopes."""
-    return old.join(changed.select(scope).distinct(), scope, "left_anti").unionByName(new.join(changed.select(scope).distinct(), scope, "left_semi"))
+    kept = old.join(changed.select(scope).distinct(), scope, "left_anti")
+    return kept.unionByName(new.join(changed.select(scope).distinct(), scope, "left_semi")).select(*old.columns)

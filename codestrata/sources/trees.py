@@ -16,7 +16,7 @@ ROOT_SIGNS = ("package.json", "pyproject.toml", "setup.py", "go.mod", "pom.xml",
 def read_tree(spark: SparkSession, root: str, extensions: Sequence[str] | None = None, excluded: Sequence[str] = EXCLUDED) -> DataFrame:
     """rel_path, language, size_bytes, modified_at, content of the files below root.
 
-    The listing alone is read until content is asked for.
+    The listing alone is read until content is asked for. Spark's reader skips files of no bytes.
     """
     base = root.rstrip("/")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
