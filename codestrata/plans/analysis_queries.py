@@ -291,7 +291,8 @@ def violation_ledger(spark: SparkSession, folder: str) -> DataFrame:
     days = e.where("event_type = 'error'").select("user_id", F.to_date("ts").alias("d")).distinct()
     run = F.datediff("d", F.lit("2000-01-01").cast("date")) - F.row_number().over(Window.partitionBy("user_id").orderBy("d"))
     rows = days.withColumn("run", run).groupBy("user_id", "run").agg(F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.count(F.lit(1)).alias("n_days")).drop("run")
-    return rows.crossJoin(e.agg(F.max(F.to_date("ts")).alias("today"))).select("user_id", "first_day", "last_day", "n_days", (F.col("last_day") < F.col("today")).alias("resolved"))
+    today = e.agg(F.max(F.to_date("ts"))).scalar()
+    return rows.select("user_id", "first_day", "last_day", "n_days", (F.col("last_day") < today).alias("resolved"))
 
 
 RULES = (("todo", r"\bTODO\b|\bFIXME\b"), ("import", r"(?m)^import "), ("call", r"[A-Za-z]+\(\)"), ("path", r"(src|packages)/[A-Za-z0-9_/.]+"), ("percent", r"[0-9.,]+ ?%"))
@@ -408,3 +409,119 @@ def snapshot_likeness(spark: SparkSession, folder: str) -> DataFrame:
     at = F.regexp_replace(F.regexp_replace("updated_at", "T", " "), "Z$", "")
     previous = F.lag("payload").over(Window.partitionBy("name").orderBy(at, "generation_id"))
     return p.withColumn("previous", previous).where("previous is not null").select("name", "generation_id", scans.likeness("previous", "payload").alias("likeness"))
+
+
+# Joins of candidates, variants and updates
+
+_MUTATE, _READ = "^(update|write|merge|sync|flush|emit)([A-Z_].*)$", "^(read|load|fetch|find|list|select)([A-Z_].*)$"
+_NOUN = "lower(regexp_replace(regexp_extract(regexp_replace(regexp_extract(rel_path, '[^/]*$'), '\\.[^.]*$', ''), '{}', 2), '_', ''))"
+
+
+@query(f"""SELECT m.file_id AS mutation, q.file_id AS query FROM (SELECT file_id, project_key, {_NOUN.format(_MUTATE)} AS noun FROM {FILE}) m
+    JOIN (SELECT file_id, project_key, {_NOUN.format(_READ)} AS noun FROM {FILE}) q ON q.project_key = m.project_key AND q.noun = m.noun WHERE m.noun <> ''""")
+def state_invalidation(spark: SparkSession, folder: str) -> DataFrame:
+    """What writes a thing against what reads it, in the same project: an equi join on the shared word."""
+    f = files(spark, folder)
+    noun = lambda rx: F.lower(F.regexp_replace(F.regexp_extract(paths.stem(F.col("rel_path")), rx, 2), "_", ""))
+    side = lambda rx, name: f.select(F.col("file_id").alias(name), "project_key", noun(rx).alias("noun")).where("noun <> ''")
+    return side(_MUTATE, "mutation").join(side(_READ, "query"), ["project_key", "noun"]).select("mutation", "query")
+
+
+@query(f"""SELECT dep_id, arg_min(f.file_id, (f.project_key <> d.project_key, f.project_key, f.file_id)) AS candidate, CASE WHEN bool_or(f.project_key = d.project_key) THEN 'own' ELSE 'other' END AS place, count(*) AS n_candidates
+    FROM (SELECT DISTINCT dep_id, project_key, lower(regexp_extract(regexp_replace(import_specifier, '(/index)?(\\.[a-z]+)?$', ''), '[^/]*$')) AS stem FROM dependencies
+        WHERE target_file_id IS NOT NULL AND target_file_id NOT IN (SELECT file_id FROM files) AND project_key IS NOT NULL AND import_specifier IS NOT NULL) d
+    JOIN (SELECT file_id, project_key, {_STEM} AS stem FROM {FILE}) f ON f.stem = d.stem WHERE d.stem NOT IN ('', 'index') GROUP BY dep_id""")
+def recovery_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Files by which links to missing ones may be mended: of the same name in the project, else in another.
+
+    Candidates are gathered per name and project first, so that a common name isn't multiplied with
+    all its links.
+    """
+    known = table(spark, folder, "files").select(F.col("file_id").alias("target_file_id")).distinct()
+    name = F.lower(paths.basename(F.regexp_replace("import_specifier", r"(/index)?(\.[a-z]+)?$", "")))
+    broken = table(spark, folder, "dependencies").where("target_file_id is not null and project_key is not null and import_specifier is not null").join(known, "target_file_id", "left_anti")
+    broken = broken.select("dep_id", "project_key", name.alias("stem")).where("stem <> '' and stem <> 'index'").distinct()
+    f = files(spark, folder).select("file_id", "project_key", F.lower(paths.stem(F.col("rel_path"))).alias("stem"))
+    own = f.groupBy("stem", "project_key").agg(F.min("file_id").alias("own_file"))
+    every = f.groupBy("stem").agg(F.count(F.lit(1)).alias("n_candidates"), F.min_by("file_id", F.struct("project_key", "file_id")).alias("other_file"))
+    rows = broken.join(every, "stem").join(own, ["stem", "project_key"], "left")
+    return rows.select("dep_id", F.coalesce("own_file", "other_file").alias("candidate"), F.when(F.col("own_file").isNull(), "other").otherwise("own").alias("place"), "n_candidates")
+
+
+@query(f"""SELECT f.file_id, coalesce(o.n, 0) AS n_links, coalesce(t.n, 0) AS n_tests, coalesce(x.n, 0) AS n_findings, array_to_string(list_filter([CASE WHEN coalesce(t.n, 0) = 0 THEN 'untested' END, CASE WHEN coalesce(x.n, 0) > 0 THEN 'findings' END, CASE WHEN coalesce(o.n, 0) > 10 THEN 'coupled' END], lambda r: r IS NOT NULL), ',') AS reasons
+    FROM {FILE} f LEFT JOIN (SELECT src, count(*) AS n FROM {EDGE} GROUP BY 1) o ON o.src = f.file_id LEFT JOIN (SELECT target, count(*) AS n FROM {_TEST} GROUP BY 1) t ON t.target = f.file_id
+    LEFT JOIN (SELECT project, path, count(*) AS n FROM {_FINDING} GROUP BY 1, 2) x ON x.project = f.project_key AND x.path = f.rel_path""")
+def review_cockpit(spark: SparkSession, folder: str) -> DataFrame:
+    """Three left joins to each file, and the reasons to look at it."""
+    links = edges(spark, folder).groupBy(F.col("src").alias("file_id")).agg(F.count(F.lit(1)).alias("n_links"))
+    tests = test_links(spark, folder).groupBy(F.col("target").alias("file_id")).agg(F.count(F.lit(1)).alias("n_tests"))
+    hits = found(spark, folder).groupBy(F.col("project").alias("project_key"), F.col("path").alias("rel_path")).agg(F.count(F.lit(1)).alias("n_findings"))
+    rows = files(spark, folder).join(links, "file_id", "left").join(tests, "file_id", "left").join(hits, ["project_key", "rel_path"], "left").fillna(0, ["n_links", "n_tests", "n_findings"])
+    reasons = F.array_compact(F.array(F.when(F.col("n_tests") == 0, "untested"), F.when(F.col("n_findings") > 0, "findings"), F.when(F.col("n_links") > 10, "coupled")))
+    return rows.select("file_id", "n_links", "n_tests", "n_findings", F.array_join(reasons, ",").alias("reasons"))
+
+
+@query(f"""WITH RECURSIVE edge AS {EDGE}, walk(hook, node, depth) AS (SELECT file_id, file_id, 0 FROM {FILE} WHERE contains('/' || rel_path || '/', '/hooks/')
+    UNION SELECT walk.hook, edge.src, depth + 1 FROM walk JOIN edge ON edge.dst = walk.node WHERE depth < 2) SELECT hook, count(DISTINCT node) AS n_consumers FROM walk WHERE node <> hook GROUP BY 1""")
+def hook_consumers(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that use a hook, themselves or over one other file."""
+    e = graph.reverse(edges(spark, folder))
+    hooks = files(spark, folder).where(paths.has_fragment(F.col("rel_path"), "hooks")).select(F.col("file_id").alias("src"))
+    one = e.join(hooks, "src").select(F.col("src").alias("hook"), F.col("dst").alias("node"))
+    two = one.join(e, one["node"] == e["src"]).select("hook", F.col("dst").alias("node"))
+    return one.unionByName(two).where("node <> hook").groupBy("hook").agg(F.count_distinct("node").alias("n_consumers"))
+
+
+@query(f"""SELECT project_key, rel_path, name FROM {EXPORT}""")
+def surgical_update(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of unchanged projects are kept and those of the others computed anew; the result is the whole."""
+    e = exports(spark, folder)
+    changed = table(spark, folder, "projects").where(F.lower("type") == "python").select("project_key")
+    kept = e.join(changed, "project_key", "left_anti")
+    return rel.replace_scope(kept, e, "project_key", changed).select("project_key", "rel_path", "name")
+
+
+@query("""SELECT file_id, project_key, coalesce(n.hash, f.hash) AS hash, n.file_id IS NOT NULL AS replaced FROM (SELECT file_id, min(project_key) AS project_key, max(hash) AS hash FROM files WHERE removed_at IS NULL GROUP BY 1) f
+    FULL JOIN (SELECT file_id, max('gone') AS hash, min(project_key) AS p FROM files WHERE file_id NOT IN (SELECT file_id FROM files WHERE removed_at IS NULL) GROUP BY 1) n USING (file_id) WHERE f.project_key IS NOT NULL
+    UNION ALL SELECT file_id, min(project_key), 'gone', true FROM files WHERE file_id NOT IN (SELECT file_id FROM files WHERE removed_at IS NULL) GROUP BY 1""")
+def upserted_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The present files, with a row put in for each file that is gone."""
+    f = table(spark, folder, "files")
+    here = f.where("removed_at is null").groupBy("file_id").agg(F.min("project_key").alias("project_key"), F.max("hash").alias("hash")).withColumn("replaced", F.lit(False))
+    gone = f.groupBy("file_id").agg(F.min("project_key").alias("project_key"), F.count_if(F.col("removed_at").isNull()).alias("n")).where("n = 0")
+    return rel.upsert(here, gone.select("file_id", "project_key", F.lit("gone").alias("hash"), F.lit(True).alias("replaced")), ["file_id"])
+
+
+@query("""SELECT cluster, count(*) AS n_documents, min(doc_id) AS first_doc, count(DISTINCT md5(text)) AS n_texts, CASE WHEN count(DISTINCT md5(text)) = 1 THEN 'identical' ELSE 'new_head' END AS band
+    FROM (SELECT doc_id, text, md5(CASE WHEN position(chr(10) IN text) = 0 THEN text ELSE substr(text, position(chr(10) IN text) + 1) END) AS cluster FROM documents WHERE text IS NOT NULL AND length(text) >= 200) GROUP BY 1 HAVING count(*) > 1""")
+def duplicate_surfaces(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts that are equal but for their first line, as one cluster each."""
+    d = table(spark, folder, "documents").where("text is not null and length(text) >= 200")
+    at = F.instr("text", "\n")
+    body = F.when(at == 0, F.col("text")).otherwise(F.substr("text", at + 1))
+    rows = d.select("doc_id", F.md5("text").alias("own"), F.md5(body).alias("cluster")).groupBy("cluster").agg(F.count(F.lit(1)).alias("n_documents"), F.min("doc_id").alias("first_doc"), F.count_distinct("own").alias("n_texts"))
+    return rows.where("n_documents > 1").withColumn("band", F.when(F.col("n_texts") == 1, "identical").otherwise("new_head"))
+
+
+@query()
+def variation_reconciler(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of the largest project against those of the second: the best partner of each by name and words.
+
+    identical (same name, same size), refined (0.7 and above), drift (0.4 and above), deleted (none) and, for
+    files of the second that are nobody's partner, new.
+    """
+    f = files(spark, folder)
+    first, second = [r[0] for r in f.groupBy("project_key").count().orderBy(F.desc("count"), "project_key").limit(2).collect()]
+    words = paths.identifier_tokens(F.concat_ws(" ", paths.dirname(F.col("rel_path")), paths.stem(F.col("rel_path"))))
+    side = lambda p: f.where(F.col("project_key") == p).select(F.col("file_id").alias("id"), words.alias("tokens"), F.lower(paths.stem(F.col("rel_path"))).alias("stem"), "size_bytes")
+    a, b = side(first), side(second)
+    pairs = rel.similar_by_tokens(a, b, 0.0, 2000).join(a.select(F.col("id").alias("left_id"), F.col("stem").alias("ls"), F.col("size_bytes").alias("lz")), "left_id")
+    pairs = pairs.join(b.select(F.col("id").alias("right_id"), F.col("stem").alias("rs"), F.col("size_bytes").alias("rz")), "right_id")
+    pairs = pairs.withColumn("score", 0.5 * (F.col("ls") == F.col("rs")).cast("double") + 0.5 * F.col("similarity")).where("score >= 0.4")
+    best = rel.best_per_key(pairs, ["left_id"], [F.desc("score"), F.col("right_id")])
+    state = F.when((F.col("similarity") == 1) & (F.col("ls") == F.col("rs")) & F.col("lz").eqNullSafe(F.col("rz")), "identical").when(F.col("score") >= 0.7, "refined").otherwise("drift")
+    told = best.select("left_id", "right_id", "score", state.alias("state"))
+    none = F.lit(None)
+    deleted = a.select(F.col("id").alias("left_id")).join(told, "left_id", "left_anti").select("left_id", none.cast("long").alias("right_id"), none.cast("double").alias("score"), F.lit("deleted").alias("state"))
+    new = b.select(F.col("id").alias("right_id")).join(told, "right_id", "left_anti").select(none.cast("long").alias("left_id"), "right_id", none.cast("double").alias("score"), F.lit("new").alias("state"))
+    return told.unionByName(deleted).unionByName(new)
