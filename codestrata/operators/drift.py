@@ -173,7 +173,6 @@ def changes(maps: DataFrame) -> DataFrame:
         .withColumn("typed", F.when(F.col("kind").isNotNull(), F.struct("run", "kind")))
         .withColumn("known", F.last("typed", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("held", F.lag("holder").over(order))
-        .withColumn("next_holder", F.lead("holder").over(order))
     )
     turned = (F.col("known.run") == F.col("run")) & (F.col("kind") != F.col("known.kind")) & (F.col("run") < F.col("seq"))
     unknown = F.concat(F.lit("\u0000"), F.col("path"))  # no value is equal to an unknown one
@@ -193,6 +192,7 @@ def changes(maps: DataFrame) -> DataFrame:
     found = walk.select("name", "path", F.explode(events).alias("e"), "holder", "held").select(
         "name", "path", "e.at_seq", "e.event", "e.value", "holder", "held"
     )
+    found = cut(found)  # few rows, read three times
     retyped = found.where("event = 'retyped'")
     # What lies inside a field that turned into an object (or back) is no change of its own.
     shells = retyped.where("holder or held").select(
