@@ -118,3 +118,22 @@ def keyed_digest(secret: str):
         return text.map(lambda t: None if t is None else hmac.new(secret.encode(), t.encode(), hashlib.sha256).hexdigest())
 
     return digest
+
+
+_DECLARED = {
+    "java": r"(?m)^\s*(?:public|protected|private|static|final|abstract|\s)*\b(?:class|interface|enum|record)\s+(\w+)",
+    "csharp": r"(?m)^\s*(?:public|protected|private|internal|static|sealed|abstract|partial|\s)*\b(?:class|interface|enum|struct|record)\s+(\w+)",
+    "go": r"(?m)^\s*(?:func\s+(?:\([^)]*\)\s*)?|type\s+)(\w+)",
+    "typescript": r"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+|async\s+)*(?:class|interface|type|enum|function\*?|const|let|var)\s+([A-Za-z_$][\w$]*)",
+    "python": r"(?m)^\s*(?:async\s+)?(?:def|class)\s+(\w+)",
+}
+
+
+def declared_symbols(sources: DataFrame) -> DataFrame:
+    """record_id, language, name, ordinal of the declarations in texts(record_id, language, text)."""
+    text, names = without_comments(F.col("text")), None
+    for language, pattern in {**_DECLARED, "javascript": _DECLARED["typescript"]}.items():
+        body = F.col("text") if language == "python" else text
+        found = F.regexp_extract_all(body, F.lit(pattern), F.lit(1))
+        names = F.when(F.col("language") == language, found) if names is None else names.when(F.col("language") == language, found)
+    return sources.select("record_id", "language", F.posexplode(names).alias("ordinal", "name")).select("record_id", "language", "name", "ordinal")

@@ -525,3 +525,100 @@ def variation_reconciler(spark: SparkSession, folder: str) -> DataFrame:
     deleted = a.select(F.col("id").alias("left_id")).join(told, "left_id", "left_anti").select("left_id", none.cast("long").alias("right_id"), none.cast("double").alias("score"), F.lit("deleted").alias("state"))
     new = b.select(F.col("id").alias("right_id")).join(told, "right_id", "left_anti").select(none.cast("long").alias("left_id"), "right_id", none.cast("double").alias("score"), F.lit("new").alias("state"))
     return told.unionByName(deleted).unionByName(new)
+
+
+# Signals, bindings and integrity
+
+_LAST = f"(SELECT max(indexed_at) - INTERVAL 60 DAY FROM {FILE})"
+
+
+@query(f"""SELECT * FROM (SELECT project_key, file_id, n_dependents, n_findings, score, CASE WHEN n_findings > 0 AND n_dependents >= 10 THEN 'fix_first' WHEN n_dependents >= 10 THEN 'review' WHEN n_findings > 0 THEN 'tidy' ELSE 'watch' END AS lane,
+    row_number() OVER (PARTITION BY project_key ORDER BY score DESC, file_id)::INTEGER AS halo_rank FROM (SELECT f.project_key, f.file_id, coalesce(i.n, 0) AS n_dependents, coalesce(x.n, 0) AS n_findings, coalesce(i.n, 0) * 2.0::DOUBLE + least(coalesce(x.n, 0) * 5.0::DOUBLE, 20.0::DOUBLE) AS score
+    FROM {FILE} f LEFT JOIN (SELECT dst, count(*) AS n FROM {EDGE} GROUP BY 1) i ON i.dst = f.file_id LEFT JOIN (SELECT project, path, count(*) AS n FROM {_FINDING} GROUP BY 1, 2) x ON x.project = f.project_key AND x.path = f.rel_path WHERE f.indexed_at >= {_LAST})) WHERE halo_rank <= 3""")
+def change_signals(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of the last sixty days with their dependents and findings; the three with the most weight of each project."""
+    last = files(spark, folder).agg((F.max("indexed_at") - F.expr("interval 60 days"))).scalar()
+    changed = files(spark, folder).where(F.col("indexed_at") >= last)
+    n = edges(spark, folder).groupBy(F.col("dst").alias("file_id")).agg(F.count(F.lit(1)).alias("n_dependents"))
+    hits = found(spark, folder).groupBy(F.col("project").alias("project_key"), F.col("path").alias("rel_path")).agg(F.count(F.lit(1)).alias("n_findings"))
+    rows = changed.join(n, "file_id", "left").join(hits, ["project_key", "rel_path"], "left").fillna(0, ["n_dependents", "n_findings"])
+    many, bad = F.col("n_dependents") >= 10, F.col("n_findings") > 0
+    lane = F.when(bad & many, "fix_first").when(many, "review").when(bad, "tidy").otherwise("watch")
+    rows = rows.withColumn("score", F.col("n_dependents") * 2.0 + capped(F.col("n_findings"), 5, 20)).withColumn("lane", lane)
+    rows = rows.select("project_key", "file_id", "n_dependents", "n_findings", "score", "lane")
+    return rel.top_k_per_group(rows, ["project_key"], [F.desc("score"), F.col("file_id")], 3, "halo_rank")
+
+
+@query(f"""SELECT e.name, CASE WHEN i.n IS NULL THEN 'unbound' ELSE 'bound' END AS state, coalesce(i.n, 0) AS n_users FROM (SELECT DISTINCT name FROM {EXPORT}) e
+    LEFT JOIN (SELECT key, count(*) AS n FROM (SELECT DISTINCT project_key, rel_path, lower(split_part(regexp_replace(s, '^[./@]+', ''), '/', 1)) AS key FROM (SELECT project_key, rel_path, unnest(from_json(json_extract(payload, '$.imports'), '["VARCHAR"]')) AS s FROM {PAYLOAD})) GROUP BY 1) i ON i.key = lower(regexp_extract(e.name, '^[A-Z][a-z]+'))""")
+def port_bindings(spark: SparkSession, folder: str) -> DataFrame:
+    """Exported names against the files whose import lists name their first word; those that nobody names are unbound."""
+    key = F.lower(F.split(F.regexp_replace("s", r"^[./@]+", ""), "/")[0])
+    lists = payloads(spark, folder).select("project_key", "rel_path", F.explode(F.from_json("payload", "imports array<string>")["imports"]).alias("s"))
+    users = lists.select("project_key", "rel_path", key.alias("key")).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_users"))
+    names = exports(spark, folder).select("name", F.lower(F.regexp_extract("name", "^[A-Z][a-z]+", 0)).alias("key")).distinct()
+    return names.join(users, "key", "left").select("name", F.when(F.col("n_users").isNull(), "unbound").otherwise("bound").alias("state"), F.coalesce("n_users", F.lit(0)).alias("n_users"))
+
+
+@query(f"""WITH RECURSIVE proxy AS (SELECT DISTINCT source_file_id AS src, target_file_id AS dst FROM dependencies WHERE {KIND} IN ('reexport', 'reexport_all') AND source_file_id <> target_file_id AND source_file_id IN (SELECT file_id FROM files) AND target_file_id IN (SELECT file_id FROM files)),
+    open(node) AS (SELECT file_id FROM {FILE} WHERE regexp_matches(rel_path, '(^|/)index\\.[jt]sx?$') UNION SELECT dst FROM open JOIN proxy ON src = node) SELECT node FROM open""")
+def public_exports(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that re-exports make reachable from an index file."""
+    links = table(spark, folder, "dependencies").where(kind().isin("reexport", "reexport_all")).select(F.col("source_file_id").alias("src"), F.col("target_file_id").alias("dst"))
+    f = files(spark, folder)
+    proxies = graph.build_edges(links, f.select(F.col("file_id").alias("node")))[0]
+    return graph.propagate(f.where(F.col("rel_path").rlike(r"(^|/)index\.[jt]sx?$")).select(F.col("file_id").alias("node")), proxies)
+
+
+@query(f"""SELECT n.rule, n.project, n.path, n.detail, CASE WHEN o.file_id IS NULL THEN 'new' ELSE 'existing' END AS state FROM {_FINDING} n
+    LEFT JOIN (SELECT DISTINCT project_key, rel_path, 1 AS file_id FROM {FILE} WHERE indexed_at < {_LAST}) o ON o.project_key = n.project AND o.rel_path = n.path""")
+def violation_delta(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings on files of the last sixty days are new, the others were there before."""
+    last = files(spark, folder).agg((F.max("indexed_at") - F.expr("interval 60 days"))).scalar()
+    old = files(spark, folder).where(F.col("indexed_at") < last).select(F.col("project_key").alias("project"), F.col("rel_path").alias("path")).distinct().withColumn("old", F.lit(True))
+    rows = found(spark, folder).join(old, ["project", "path"], "left")
+    return rows.select("rule", "project", "path", "detail", F.when(F.col("old"), "existing").otherwise("new").alias("state"))
+
+
+@query(f"""SELECT file_id, count(*) OVER (PARTITION BY project_key, regexp_replace(rel_path, '/?[^/]*$', '')) - 1 AS n_neighbours, count(*) OVER (PARTITION BY project_key, regexp_replace(rel_path, '/?[^/]*$', ''), language) - 1 AS n_same_language FROM {FILE}""")
+def directory_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """How many files share a directory with each; counted by directory, then joined back."""
+    f = files(spark, folder).withColumn("dir", paths.dirname(F.col("rel_path"))).withColumn("lang", F.coalesce("language", F.lit("?")))
+    by = lambda keys, name: f.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias(name))
+    return (
+        f.join(by(["project_key", "dir"], "n_neighbours"), ["project_key", "dir"])
+        .join(by(["project_key", "dir", "lang"], "n_same_language"), ["project_key", "dir", "lang"])
+        .select("file_id", "n_neighbours", "n_same_language")
+    )
+
+
+@query()
+def occurrence_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Density, decoupling and a digest of the structure of each source text."""
+    rows = table(spark, folder, "source_records").select("record_id", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).where("text is not null").distinct()
+    bare = scans.without_comments(F.col("text"))
+    hits = F.regexp_count(bare, F.lit(r"\b(if|for|while|return|await|async|yield|match|switch|try)\b"))
+    leaks = F.regexp_count(bare, F.lit(r"\b(global|window|document|process\.env|os\.environ|print|console\.log)\b"))
+    shape = F.md5(F.regexp_replace(F.regexp_replace(bare, r"[A-Za-z_]\w*", "w"), r"\s+", " "))
+    return rows.select("record_id", hits.alias("density"), F.greatest(F.lit(0), 100 - leaks * 10).alias("decoupling"), shape.alias("dna"))
+
+
+@query()
+def polyglot_symbols(spark: SparkSession, folder: str) -> DataFrame:
+    """Declarations by the form of each language, without parsing."""
+    rows = table(spark, folder, "source_records").select(
+        "record_id", paths.language_of(F.col("relative_path")).alias("language"), F.try_validate_utf8(F.col("content").cast("string")).alias("text")
+    ).where("text is not null").distinct()
+    return scans.declared_symbols(rows)
+
+
+@query("""SELECT 'documents' AS store, count(*) AS n_rows, count(DISTINCT doc_id) AS n_keys FROM documents UNION ALL SELECT 'files', count(*), count(DISTINCT file_id) FROM files
+    UNION ALL SELECT 'dependencies', count(*), count(DISTINCT dep_id) FROM dependencies UNION ALL SELECT 'staging', count(*), count(DISTINCT (project_key, rel_path)) FROM atlas_staging_files""")
+def store_parity(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and keys of each store; repeated rows show as the difference."""
+    parts = [("documents", "documents", ["doc_id"]), ("files", "files", ["file_id"]), ("dependencies", "dependencies", ["dep_id"]), ("staging", "atlas_staging_files", ["project_key", "rel_path"])]
+    out = None
+    for store, name, keys in parts:
+        one = table(spark, folder, name).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.struct(*keys)).alias("n_keys")).select(F.lit(store).alias("store"), "n_rows", "n_keys")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -67,3 +67,19 @@ def test_steps():
 def test_reports(spark):
     df = spark.createDataFrame([("a|b", "c", 2), ("c", "d", 5)], "src string, dst string, weight int")
     assert "a\\|b" in reports.markdown(df, "Edges") and "n0 -->|5| n1" in reports.diagram(df)
+
+
+def test_documents(spark, tmp_path):
+    from codestrata.sources import documents
+
+    text = '{"a": "x // y", /* note */ "b": [1, 2,],} // end'
+    row = spark.createDataFrame([(text,), ("no json",), (None,)], "t string").select(documents.parsed(documents.F.col("t"), "a string, b array<int>").alias("d")).collect()
+    assert row[0].d.a == "x // y" and list(row[0].d.b) == [1, 2] and row[2].d is None
+    schema = "name string, n int"
+    assert documents.read_document(spark, str(tmp_path / "none.json"), schema, {"name": "d", "n": 0}).collect()[0].name == "d"
+    (tmp_path / "bundle-1.json").write_text('{"name": "x",\n "n": 2}')
+    (tmp_path / "profile.json").write_text("{broken")
+    (tmp_path / "other.json").write_text("{}")
+    assert documents.read_document(spark, str(tmp_path / "bundle-1.json"), schema).collect()[0].n == 2
+    got = {(r.kind, r.name, r.ok) for r in documents.read_evidence(spark, str(tmp_path), {"bundle": "bundle", "profile": "profile"}).selectExpr("kind", "name", "content is not null ok").collect()}
+    assert got == {("bundle", "bundle-1.json", True), ("profile", "profile.json", False)}
