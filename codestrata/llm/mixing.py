@@ -34,6 +34,7 @@ from codestrata.session import cut
 
 DEFAULT_TOKENIZER = "byte_bpe_50k.tiktoken"
 BANDS = 64  # bands of the rank to one power of e
+MOST_TARGETS = 10_000  # rows of targets up to which what is derived from them goes to every task
 # Fixed value: the splitting pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -102,11 +103,14 @@ def mixed(counts: DataFrame, targets: DataFrame, total: int | None = None, seed:
     """mix_name, source, doc_id, n_tokens, copies of every document used."""
     plan = quotas(counts, targets, total)
     key = ["mix_name", "source"]
+    # One row a mix and source; joined by exchange a source with a third of all rows would be one
+    # partition. Beyond the bound Spark chooses, and splits such a partition.
+    small = F.broadcast if targets.limit(MOST_TARGETS + 1).count() <= MOST_TARGETS else lambda df: df
     u = (F.pmod(F.xxhash64(F.lit(seed), "mix_name", "doc_id"), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
     p = F.least(F.greatest(F.col("rest") * F.col("n_tokens") / F.col("squares"), F.lit(1e-9)), F.lit(1 - 1e-9))
     log_rank = F.log(F.col("u") / (1 - F.col("u"))) - F.log(F.col("p") / (1 - F.col("p")))
     rows = (
-        counts.join(plan.where("quota > 0").select(*key, "whole", "rest", "squares"), "source")
+        counts.join(small(plan.where("quota > 0").select(*key, "whole", "rest", "squares")), "source")
         .withColumn("u", u)
         .withColumn("p", p)
         .withColumn("rank", log_rank)
@@ -117,7 +121,7 @@ def mixed(counts: DataFrame, targets: DataFrame, total: int | None = None, seed:
     order = Window.partitionBy(*key).orderBy("band")
     bands = bands.withColumn("before", F.sum("size").over(order) - F.col("size"))
     edge = bands.where("before < rest and before + size >= rest").select(*key, F.col("band").alias("edge"), "before")
-    placed = rows.join(edge, key, "left")
+    placed = rows.join(small(edge), key, "left")
     inside = Window.partitionBy(*key).orderBy("rank", "doc_id")
     close = (
         placed.where("band = edge")
