@@ -69,12 +69,16 @@ def reach_pairs(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
 def bounded_closure(edges: DataFrame, origins: DataFrame, max_nodes: int, max_depth: int) -> DataFrame:
     """node, depth, taken, truncated: the closure in order of (depth, node), up to max_nodes."""
     found = reach(edges, origins, max_depth)
-    # The rank is by depth first: counts of the levels before, then a rank within the level.
-    levels = found.groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
-    levels = levels.withColumn("before", F.sum("n").over(Window.orderBy("depth")) - F.col("n")).withColumn("n_all", F.sum("n").over(Window.partitionBy()))
-    inside = F.row_number().over(Window.partitionBy("depth").orderBy("node"))
-    ranked = found.join(levels, "depth").withColumn("position", F.col("before") + inside)
-    return ranked.select("node", "depth", (F.col("position") <= max_nodes).alias("taken"), (F.col("n_all") > max_nodes).alias("truncated"))
+    sizes = {r["depth"]: r["n"] for r in found.groupBy("depth").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a level
+    room, whole = max_nodes, -1
+    for depth in sorted(sizes):
+        if sizes[depth] > room:
+            break
+        room, whole = room - sizes[depth], depth
+    # Of the level that is cut only its first nodes are wanted, not a rank of all of them.
+    edge = found.where(F.col("depth") == whole + 1).orderBy("node").limit(room).select("node", F.lit(True).alias("_first"))
+    taken = (F.col("depth") <= whole) | F.coalesce("_first", F.lit(False))
+    return found.join(edge, "node", "left").select("node", "depth", taken.alias("taken"), F.lit(sum(sizes.values()) > max_nodes).alias("truncated"))
 
 
 def propagate(marked: DataFrame, edges: DataFrame) -> DataFrame:
