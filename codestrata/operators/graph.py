@@ -37,6 +37,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, origins: DataFrame, max_depth: int | None = None) -> DataFrame:
     """node, depth: what can be reached from any of origins(node), itself at depth 0."""
+    edges = cut(edges.select("src", "dst"))  # read each round
     seen = cut(origins.select("node", F.lit(0).alias("depth")).distinct())
     frontier, depth = seen, 0
     while max_depth is None or depth < max_depth:
@@ -45,7 +46,7 @@ def reach(edges: DataFrame, origins: DataFrame, max_depth: int | None = None) ->
         frontier = cut(found.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier)) if depth % 8 == 0 else seen.unionByName(frontier)
+        seen = cut(seen.unionByName(frontier)) if depth % 16 == 0 else seen.unionByName(frontier)
     return seen
 
 
@@ -54,7 +55,8 @@ def reach_pairs(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
 
     The result may hold a row for each pair of nodes: bound max_depth, or condense the graph first.
     """
-    pairs = cut(edges.select(F.col("src").alias("origin"), F.col("dst").alias("node"), F.lit(1).alias("depth")).where("origin <> node").distinct())
+    edges = cut(edges.select("src", "dst").where("src <> dst").distinct())  # read each round
+    pairs = edges.select(F.col("src").alias("origin"), F.col("dst").alias("node"), F.lit(1).alias("depth"))
     frontier, depth = pairs, 1
     while max_depth is None or depth < max_depth:
         depth += 1
@@ -62,7 +64,7 @@ def reach_pairs(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
         frontier = cut(step.join(pairs, ["origin", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        pairs = cut(pairs.unionByName(frontier))
+        pairs = pairs.unionByName(frontier)  # each part is checkpointed
     return pairs
 
 
@@ -132,7 +134,7 @@ def components(edges: DataFrame) -> DataFrame:
             frontier = cut(back.distinct().join(member, "node", "left_anti"))
             if frontier.isEmpty():
                 break
-            member = cut(member.unionByName(frontier))
+            member = member.unionByName(frontier)
         out = member if out is None else out.unionByName(member)
         gone = member.select("node")
         left = cut(
@@ -196,7 +198,7 @@ def shortest_witness(edges: DataFrame, members: DataFrame) -> DataFrame:
         rest = ahead.join(done.select("component"), "component", "left_anti")
         rest = rest.groupBy("component", "head", "node").agg(F.min("path").alias("path")).join(seen, ["component", "node"], "left_anti")
         walk = cut(rest.select("component", "head", "node", F.concat("path", F.array("node")).alias("path")))
-        seen = cut(seen.unionByName(walk.select("component", "node")))
+        seen = seen.unionByName(walk.select("component", "node"))
     return out.select("component", F.size("witness").alias("length"), "witness")
 
 
@@ -212,8 +214,11 @@ def condensed(edges: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def importers(edges: DataFrame) -> DataFrame:
-    """node, n_importers, importers (sorted)."""
-    return edges.groupBy(F.col("dst").alias("node")).agg(
+def importers(edges: DataFrame, width: int = 1000) -> DataFrame:
+    """node, chunk, n_importers, importers (sorted): the importers whose ids lie in one range of ``width``.
+
+    Ids are integers, so that no array outgrows the width, however many files import one.
+    """
+    return edges.groupBy(F.col("dst").alias("node"), F.floor(F.col("src") / width).cast("long").alias("chunk")).agg(
         F.count_distinct("src").alias("n_importers"), F.sort_array(F.collect_set("src")).alias("importers")
     )

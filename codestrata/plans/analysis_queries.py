@@ -208,13 +208,14 @@ def dead_export_counts(spark: SparkSession, folder: str) -> DataFrame:
     return dead(spark, folder).groupBy("project_key", "reason", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
+NO_NAME = ("index", "main", "__init__", "mod")  # names that tell nothing; their groups would grow with the square of a project
 _IS_TEST = "contains('/' || rel_path || '/', '/tests/')"
 _STEM = "lower(regexp_replace(regexp_extract(rel_path, '[^/]*$'), '\\.[^.]*$', ''))"
 _TEST = f"""(WITH t AS (SELECT file_id, project_key, {_STEM} AS stem FROM {FILE} WHERE {_IS_TEST}), s AS (SELECT file_id, project_key, {_STEM} AS stem FROM {FILE} WHERE NOT {_IS_TEST}), e AS {EDGE}
     SELECT test, target, max(direct) AS direct, max(transitive) AS transitive, max(naming) AS naming FROM (
         SELECT t.file_id AS test, s.file_id AS target, 1 AS direct, 0 AS transitive, 0 AS naming FROM e JOIN t ON t.file_id = e.src JOIN s ON s.file_id = e.dst
         UNION ALL SELECT t.file_id, s.file_id, 0, 1, 0 FROM e JOIN t ON t.file_id = e.src JOIN e b ON b.src = e.dst JOIN s ON s.file_id = b.dst
-        UNION ALL SELECT t.file_id, s.file_id, 0, 0, 1 FROM t JOIN s ON s.project_key = t.project_key AND s.stem = t.stem) GROUP BY 1, 2)"""
+        UNION ALL SELECT t.file_id, s.file_id, 0, 0, 1 FROM t JOIN s ON s.project_key = t.project_key AND s.stem = t.stem WHERE t.stem NOT IN {NO_NAME}) GROUP BY 1, 2)"""
 
 
 def test_links(spark: SparkSession, folder: str) -> DataFrame:
@@ -227,7 +228,7 @@ def test_links(spark: SparkSession, folder: str) -> DataFrame:
     two = one.withColumnRenamed("target", "src").join(e, "src").select("test", F.col("dst").alias("target"))
     flag = lambda d, *v: d.select("test", "target", *[F.lit(x).alias(n) for x, n in zip(v, ("direct", "transitive", "naming"))])
     every = flag(one, 1, 0, 0).unionByName(flag(two, 0, 1, 0)).join(s.select("target"), "target", "left_semi")
-    every = every.unionByName(flag(t.join(s, ["project_key", "stem"]), 0, 0, 1))
+    every = every.unionByName(flag(t.where(~F.col("stem").isin(*NO_NAME)).join(s, ["project_key", "stem"]), 0, 0, 1))
     return every.groupBy("test", "target").agg(*[F.max(c).alias(c) for c in ("direct", "transitive", "naming")])
 
 

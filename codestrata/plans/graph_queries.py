@@ -50,7 +50,7 @@ def graph_degrees(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def graph_importers(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.importers(edges(spark, folder)).select("node", "n_importers", F.array_join(F.transform("importers", lambda x: x.cast("string")), ",").alias("importers"))
+    return graph.importers(edges(spark, folder)).select("node", "chunk", "n_importers", F.array_join(F.transform("importers", lambda x: x.cast("string")), ",").alias("importers"))
 
 
 def graph_cross_project(spark: SparkSession, folder: str) -> DataFrame:
@@ -186,7 +186,7 @@ ORACLE = {
     "graph_edges": f"SELECT * FROM {EDGE}",
     "graph_self_edges": "SELECT DISTINCT source_file_id AS node FROM dependencies WHERE source_file_id = target_file_id AND source_file_id IN (SELECT file_id FROM files)",
     "graph_degrees": f"SELECT node, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in FROM (SELECT src AS node, 1 AS o, 0 AS i FROM {EDGE} UNION ALL SELECT dst, 0, 1 FROM {EDGE}) GROUP BY node",
-    "graph_importers": f"SELECT dst AS node, count(*) AS n_importers, array_to_string(list_sort(list(src)), ',') AS importers FROM {EDGE} GROUP BY dst",
+    "graph_importers": f"SELECT dst AS node, (src // 1000)::BIGINT AS chunk, count(*) AS n_importers, array_to_string(list_sort(list(src)), ',') AS importers FROM {EDGE} GROUP BY 1, 2",
     "graph_cross_project": f"""SELECT a.project_key AS from_project, b.project_key AS to_project,
         CASE WHEN b.project_key NOT IN (SELECT project_key FROM projects) THEN 'inactive' WHEN a.project_key = b.project_key THEN 'internal' ELSE 'cross' END AS state,
         count(*) AS n_edges FROM {EDGE} e JOIN {FILE} a ON a.file_id = e.src JOIN {FILE} b ON b.file_id = e.dst GROUP BY 1, 2, 3""",
