@@ -10,7 +10,7 @@ from codestrata.functions.scores import band, capped, clamp, compare, ratio
 from codestrata.operators import findings as fnd
 from codestrata.operators import graph, scans
 from codestrata.operators import relational as rel
-from codestrata.plans.common import EDGE, EXPORT, FILE, KIND, PAYLOAD, edges, exports, files, kind, payloads
+from codestrata.plans.common import EDGE, EXPORT, FILE, KIND, PAYLOAD, edges, exports, files, kind, records
 from codestrata.session import table
 
 QUERIES: dict = {}
@@ -182,7 +182,7 @@ def dead(spark: SparkSession, folder: str) -> DataFrame:
     place = f.groupBy("project_key", "rel_path").agg(F.min("file_id").alias("file_id"))
     imported = edges(spark, folder).select(F.col("dst").alias("file_id")).distinct().withColumn("is_imported", F.lit(True))
     spaces = table(spark, folder, "dependencies").where(kind() == "namespace").select(F.col("target_file_id").alias("file_id")).where("file_id is not null").distinct().withColumn("is_space", F.lit(True))
-    used = payloads(spark, folder).select(F.explode(F.from_json("payload", "imports array<string>")["imports"]).alias("s"))
+    used = records(spark, folder).select(F.explode(F.from_json("payload", "imports array<string>")["imports"]).alias("s"))
     used = used.select(F.lower(F.split(F.regexp_replace("s", r"^[./@]+", ""), "/")[0]).alias("key")).distinct().withColumn("is_used", F.lit(True))
     rows = e.join(place, ["project_key", "rel_path"], "left").join(imported, "file_id", "left").join(spaces, "file_id", "left").withColumn("key", F.lower("name")).join(used, "key", "left")
     reason = rel.first_rule(
@@ -555,7 +555,7 @@ def change_signals(spark: SparkSession, folder: str) -> DataFrame:
 def port_bindings(spark: SparkSession, folder: str) -> DataFrame:
     """Exported names against the files whose import lists name their first word; those that nobody names are unbound."""
     key = F.lower(F.split(F.regexp_replace("s", r"^[./@]+", ""), "/")[0])
-    lists = payloads(spark, folder).select("project_key", "rel_path", F.explode(F.from_json("payload", "imports array<string>")["imports"]).alias("s"))
+    lists = records(spark, folder).select("project_key", "rel_path", F.explode(F.from_json("payload", "imports array<string>")["imports"]).alias("s"))
     users = lists.select("project_key", "rel_path", key.alias("key")).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_users"))
     names = exports(spark, folder).select("name", F.lower(F.regexp_extract("name", "^[A-Z][a-z]+", 0)).alias("key")).distinct()
     return names.join(users, "key", "left").select("name", F.when(F.col("n_users").isNull(), "unbound").otherwise("bound").alias("state"), F.coalesce("n_users", F.lit(0)).alias("n_users"))

@@ -41,18 +41,21 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
     return graph.build_edges(links, table(spark, folder, "files").select(F.col("file_id").alias("node")))[0]
 
 
+def records(spark: SparkSession, folder: str) -> DataFrame:
+    """Staged records as they are; a repeated row is there twice."""
+    rows = table(spark, folder, "atlas_staging_files").where("stage_kind = 'atlas_record'")
+    return rows.select("project_key", paths.normalized(F.col("rel_path")).alias("rel_path"), "payload", "size_bytes")
+
+
 def payloads(spark: SparkSession, folder: str) -> DataFrame:
-    return (
-        table(spark, folder, "atlas_staging_files")
-        .where("stage_kind = 'atlas_record'")
-        .select("project_key", paths.normalized(F.col("rel_path")).alias("rel_path"), "payload", "size_bytes")
-        .distinct()
-    )
+    """Each staged record once."""
+    return records(spark, folder).distinct()
 
 
 def exports(spark: SparkSession, folder: str) -> DataFrame:
+    """Exported names, once each; whole payloads aren't exchanged for that."""
     names = F.from_json("payload", "exports array<string>")["exports"]
-    return payloads(spark, folder).select("project_key", "rel_path", F.explode(names).alias("name")).distinct()
+    return records(spark, folder).select("project_key", "rel_path", F.explode(names).alias("name")).distinct()
 
 
 def kind():

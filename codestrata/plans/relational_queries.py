@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codestrata.functions import paths
 from codestrata.functions.scores import band, capped, ratio
 from codestrata.operators import relational as rel
-from codestrata.plans.common import EDGE, EXPORT, FILE, KIND, PAYLOAD, edges, exports, files, kind, payloads
+from codestrata.plans.common import EDGE, EXPORT, FILE, KIND, PAYLOAD, edges, exports, files, kind, payloads, records
 from codestrata.session import table
 
 QUERIES: dict = {}
@@ -110,7 +110,7 @@ def join_top_out_degree(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"SELECT s.project_key, count(*) FILTER (f.file_id IS NULL) AS n_without, count(*) AS n_staged FROM (SELECT DISTINCT project_key, rel_path FROM {PAYLOAD}) s LEFT JOIN {FILE} f ON f.project_key = s.project_key AND f.rel_path = s.rel_path GROUP BY 1")
 def join_left_outer(spark: SparkSession, folder: str) -> DataFrame:
     """Staged files that didn't reach files, by project."""
-    staged = payloads(spark, folder).select("project_key", "rel_path").distinct()
+    staged = records(spark, folder).select("project_key", "rel_path").distinct()
     f = files(spark, folder).select("project_key", "rel_path", "file_id")
     return staged.join(f, ["project_key", "rel_path"], "left").groupBy("project_key").agg(F.count_if(F.col("file_id").isNull()).alias("n_without"), F.count(F.lit(1)).alias("n_staged"))
 
@@ -142,7 +142,7 @@ _FILE_SIZE = f"(SELECT project_key, rel_path, max(size_bytes) AS v FROM {FILE} G
 def join_full_outer_diff(spark: SparkSession, folder: str) -> DataFrame:
     """Staged files against indexed files."""
     keys = ["project_key", "rel_path"]
-    before = payloads(spark, folder).groupBy(*keys).agg(F.max("size_bytes").alias("v"))
+    before = records(spark, folder).groupBy(*keys).agg(F.max("size_bytes").alias("v"))
     after = files(spark, folder).groupBy(*keys).agg(F.max("size_bytes").alias("v"))
     return rel.full_diff(before, after, keys, "v")
 
@@ -166,7 +166,7 @@ _IMPORT = f"""(SELECT DISTINCT project_key, rel_path, unnest(from_json(json_extr
 @query(f"SELECT i.name, count(*) AS n_files FROM (SELECT project_key, rel_path, name FROM {_IMPORT}) i WHERE i.name IN (SELECT import_specifier FROM dependencies) GROUP BY 1")
 def join_array_containment(spark: SparkSession, folder: str) -> DataFrame:
     """Staged import lists against the specifiers that dependencies know."""
-    lists = payloads(spark, folder).select("project_key", "rel_path", F.from_json("payload", "imports array<string>")["imports"].alias("imports"))
+    lists = records(spark, folder).select("project_key", "rel_path", F.from_json("payload", "imports array<string>")["imports"].alias("imports"))
     known = table(spark, folder, "dependencies").select(F.col("import_specifier").alias("name")).where("name is not null").distinct()
     hits = rel.array_containment(lists, "imports", known, "name").select("project_key", "rel_path", "name").distinct()
     return hits.groupBy("name").agg(F.count(F.lit(1)).alias("n_files"))
@@ -206,7 +206,7 @@ def join_candidates(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def join_suffix_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """The last two segments of staged paths against the paths of files."""
-    staged = payloads(spark, folder).select(F.array_join(F.slice(F.split("rel_path", "/"), -2, 2), "/").alias("path")).where("path <> ''").distinct()
+    staged = records(spark, folder).select(F.array_join(F.slice(F.split("rel_path", "/"), -2, 2), "/").alias("path")).where("path <> ''").distinct()
     return rel.suffix_lookup(staged, files(spark, folder).select(F.col("rel_path").alias("node")).distinct())
 
 
@@ -215,7 +215,7 @@ def join_suffix_lookup(spark: SparkSession, folder: str) -> DataFrame:
     FROM (SELECT DISTINCT project_key, split_part(regexp_replace(name, '^[./@]+', ''), '/', 1) AS stem, name FROM {_IMPORT}) r LEFT JOIN (SELECT DISTINCT project_key, lower(name) AS n FROM {EXPORT}) e ON e.n = lower(r.stem) GROUP BY 1, 2)""")
 def join_first_match(spark: SparkSession, folder: str) -> DataFrame:
     """Where an imported name lives: in the project, else in another one, else outside."""
-    lists = payloads(spark, folder).select("project_key", F.explode(F.from_json("payload", "imports array<string>")["imports"]).alias("name")).distinct()
+    lists = records(spark, folder).select("project_key", F.explode(F.from_json("payload", "imports array<string>")["imports"]).alias("name")).distinct()
     stem = F.lower(F.split(F.regexp_replace("name", r"^[./@]+", ""), "/")[0])
     homes = exports(spark, folder).groupBy(F.lower("name").alias("stem")).agg(F.collect_set("project_key").alias("homes"))
     place = F.when(F.array_contains("homes", F.col("project_key")), "internal").when(F.col("homes").isNotNull(), "sibling").otherwise("external")
