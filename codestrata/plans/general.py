@@ -86,12 +86,43 @@ _CLIMB = """
     below AS (SELECT pos AS id, count(DISTINCT id) - 1 AS n FROM up GROUP BY pos)
 """
 
+_FIELDS = """
+    WITH parts AS (SELECT name, generation_id, count(*) AS n, list_reduce(list(payload ORDER BY part_index), lambda a, b: a || b) AS whole
+        FROM (SELECT DISTINCT name, generation_id, part_index, payload FROM state_payload_parts) GROUP BY 1, 2),
+    content AS (SELECT r.name, r.generation_id, r.moment, CASE WHEN r.mode <> 'partitioned_json_v1' THEN r.payload WHEN p.n = r.part_count THEN decode(p.whole) END AS doc
+        FROM (SELECT DISTINCT name, generation_id, replace(replace(updated_at, 'T', ' '), 'Z', '')::TIMESTAMP AS moment, payload, part_count, coalesce(storage_mode, 'inline_json') AS mode FROM state_payloads) r
+        LEFT JOIN parts p ON p.name = r.name AND p.generation_id = r.generation_id),
+    plain AS (SELECT name, generation_id, moment, CASE WHEN json_type(doc) = 'VARCHAR' THEN json_extract_string(doc, '$') ELSE doc END AS doc FROM content WHERE json_valid(doc)),
+    seq AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY moment, generation_id) AS seq, count(*) OVER (PARTITION BY name) AS last_seq FROM plain WHERE json_type(doc) = 'OBJECT'),
+    field AS (SELECT s.name, s.generation_id, s.moment, s.seq, s.last_seq, substr(t.fullkey, 3) AS path,
+        CASE t.type WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind,
+        CASE WHEN t.type IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') THEN (t.value::DOUBLE)::VARCHAR WHEN t.type <> 'NULL' THEN t.value::VARCHAR END AS value,
+        t.type = 'OBJECT' AND t.value::VARCHAR <> '{}' AS holder
+        FROM seq s, json_tree(s.doc) t WHERE t.fullkey <> '$' AND t.fullkey NOT LIKE '%[%')
+"""
+_CHANGES = f"""{_FIELDS},
+    step AS (SELECT *, lag(seq) OVER w AS before, lead(seq) OVER w AS after, lag(holder) OVER w AS held, CASE WHEN lag(seq) OVER w IS NULL OR lag(seq) OVER w < seq - 1 THEN seq END AS start FROM field WINDOW w AS (PARTITION BY name, path ORDER BY seq)),
+    run AS (SELECT *, max(start) OVER (PARTITION BY name, path ORDER BY seq) AS run FROM step),
+    known AS (SELECT *, last_value(CASE WHEN kind IS NOT NULL THEN kind END IGNORE NULLS) OVER (PARTITION BY name, path, run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM run),
+    retyped AS (SELECT name, seq, path, holder OR coalesce(held, false) AS shell FROM known WHERE kind <> known),
+    moved AS (SELECT name, seq, 'added' AS event, path, coalesce(value, chr(1) || path) AS value FROM known WHERE start IS NOT NULL AND seq > 1 AND NOT holder
+        UNION ALL SELECT name, seq + 1, 'removed', path, coalesce(value, chr(1) || path) FROM known WHERE (after IS NULL OR after > seq + 1) AND seq < last_seq AND NOT holder),
+    own AS (SELECT *, row_number() OVER (PARTITION BY name, seq, value, event ORDER BY path) AS nth FROM moved m
+        WHERE NOT EXISTS (SELECT 1 FROM retyped r WHERE r.name = m.name AND r.seq = m.seq AND r.shell AND starts_with(m.path, r.path || '.'))),
+    pair AS (SELECT name, seq, max(path) FILTER (event = 'removed') AS old, max(path) FILTER (event = 'added') AS new FROM own GROUP BY name, seq, value, nth),
+    change AS (SELECT name, seq, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' ELSE 'renamed' END AS change_kind, coalesce(old, '') AS old_field, coalesce(new, '') AS new_field FROM pair
+        UNION ALL SELECT name, seq, 'retyped', path, path FROM retyped)
+    SELECT c.name, s.generation_id, change_kind, old_field, new_field FROM change c JOIN seq s ON s.name = c.name AND s.seq = c.seq
+"""
+
 ORACLE = {
     "p1_found": f"SELECT dep_id, endpoint, reason FROM ({_ORPHANS})",
     "p1_orphan_counts": f"""
         SELECT 'dependencies' AS table_name, endpoint, strftime(recorded_at, '%Y-%m') AS period, reason,
             count(*) AS n_references, count(DISTINCT file_id) AS n_keys
         FROM ({_ORPHANS}) GROUP BY endpoint, period, reason""",
+    "p3_found": _CHANGES,
+    "p3_path_statistics": f"{_FIELDS} SELECT name, path, kind, count(*) AS n_payloads, min(moment) AS first_at, max(moment) AS last_at FROM field GROUP BY 1, 2, 3",
     "p4_found": f"""{_CLIMB}
         SELECT e.id AS file_id,
             coalesce(own.low, near.low, e.top) AS root_file_id,
