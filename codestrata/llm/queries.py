@@ -69,4 +69,32 @@ QUERIES = {
     "p6_clean_documents": p6_clean_documents,
     "p2_found": p2_found, "p2_reasons": p2_reasons}
 
-ORACLE: dict[str, str] = {}
+_C = foreign_code
+_CLEAN = "regexp_replace(regexp_replace(replace(rel_path, chr(92), '/'), '/{2,}', '/', 'g'), '^(\\./)+', '')"
+_PATH = f"""CASE WHEN regexp_matches(rel_path, '{_C.GENERATED_PATH}') THEN 'generated' WHEN regexp_matches(rel_path, '{_C.THIRD_PARTY_PATH}') THEN 'third_party'
+    WHEN regexp_matches(rel_path, '{_C.MINIFIED_PATH}') THEN 'minified' END"""
+_FOREIGN = f"""
+    WITH head AS (SELECT project_key, {_CLEAN} AS rel_path, size_bytes, json_extract_string(payload, '$.head') AS head, try_cast(json_extract_string(payload, '$.loc') AS DOUBLE) AS loc,
+        try_cast(json_extract_string(payload, '$.longest_line') AS DOUBLE) AS longest, regexp_replace(json_extract_string(payload, '$.head'), '{_C.OPENING_COMMENT}', '') AS body
+        FROM atlas_staging_files WHERE stage_kind = 'atlas_record' AND rel_path IS NOT NULL),
+    count AS (SELECT *, coalesce(longest, size_bytes / nullif(loc, 0), CASE WHEN NOT contains(rtrim(head), chr(10)) THEN size_bytes END) >= {_C.LONG_LINE} AS long, greatest(length(body), 1)::DOUBLE AS n,
+        len(regexp_extract_all(body, '{_C.NUMBER}')) AS numbers, len(regexp_extract_all(body, '{_C.WORD}')) AS words FROM head),
+    told AS (SELECT project_key, rel_path, size_bytes, head, coalesce(CASE WHEN regexp_matches(head, '{_C.GENERATED_HEAD}') THEN 'generated' WHEN regexp_matches(head, '{_C.THIRD_PARTY_HEAD}') THEN 'third_party'
+        WHEN regexp_matches(body, '{_C.ENCODED}') AND long THEN 'data'
+        WHEN (coalesce(numbers::DOUBLE / nullif(numbers + words, 0), 0) >= {_C.DATA_NUMBERS} OR (length(body) - length(regexp_replace(body, '[0-9]', '', 'g'))) / n >= {_C.DATA_DIGITS})
+            AND numbers >= 4 AND size_bytes >= {_C.DATA_BYTES} AND NOT regexp_matches(body, '{_C.REMARK}') THEN 'data'
+        WHEN long AND (length(body) - length(regexp_replace(body, '\\s', '', 'g'))) / n <= {_C.PACKED_SPACE} AND length(body) >= 40 THEN 'minified' END, {_PATH}) AS reason FROM count),
+    line AS (SELECT DISTINCT project_key, rel_path, size_bytes, line FROM (SELECT project_key, rel_path, size_bytes, unnest(string_split(replace(head, chr(13), ''), chr(10))) AS line FROM told WHERE head IS NOT NULL) WHERE length(trim(line)) >= 12),
+    posted AS (SELECT *, count(*) OVER (PARTITION BY project_key, rel_path, size_bytes) AS n_lines FROM line WHERE line IN (SELECT line FROM line GROUP BY 1 HAVING count(*) BETWEEN 2 AND {_C.RARE_FILES})),
+    copy AS (SELECT a.project_key, a.rel_path FROM posted a JOIN posted b ON b.line = a.line AND b.size_bytes = a.size_bytes AND b.project_key <> a.project_key
+        WHERE (b.project_key, b.rel_path) IN (SELECT (project_key, rel_path) FROM told WHERE reason = 'third_party') AND a.n_lines >= {_C.TELLING_LINES}
+        GROUP BY a.project_key, a.rel_path, a.size_bytes, a.n_lines, b.project_key, b.rel_path, b.size_bytes HAVING count(*) = a.n_lines),
+    every AS (SELECT project_key, rel_path, reason FROM told UNION ALL SELECT project_key, rel_path, {_PATH} FROM (SELECT project_key, {_CLEAN} AS rel_path FROM files UNION ALL SELECT project_key, {_CLEAN} FROM atlas_staging_files)
+        UNION ALL SELECT project_key, rel_path, 'third_party' FROM copy)
+    SELECT project_key, rel_path, arg_min(reason, CASE reason WHEN 'generated' THEN 1 WHEN 'third_party' THEN 2 WHEN 'minified' THEN 3 ELSE 4 END) AS reason FROM every WHERE reason IS NOT NULL AND rel_path IS NOT NULL GROUP BY 1, 2
+"""
+
+ORACLE: dict[str, str] = {
+    "p2_found": f"SELECT project_key, rel_path FROM ({_FOREIGN})",
+    "p2_reasons": f"SELECT project_key, reason, count(*) AS n_files FROM ({_FOREIGN}) GROUP BY 1, 2",
+}
