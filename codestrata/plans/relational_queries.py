@@ -447,6 +447,6 @@ def function_times(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
     day = F.to_date("ts")
     return e.select(
-        "event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("seconds"),
+        "event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("seconds"),
         (day < F.lit("2024-01-15").cast("date")).alias("early"), F.datediff(day, F.lit("2024-01-01").cast("date")).alias("day_no"),
     )
