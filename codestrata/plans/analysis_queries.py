@@ -11,7 +11,7 @@ from codestrata.operators import findings as fnd
 from codestrata.operators import graph, scans
 from codestrata.operators import relational as rel
 from codestrata.plans.common import EDGE, EXPORT, FILE, KIND, PAYLOAD, edges, exports, files, kind, records
-from codestrata.session import table
+from codestrata.session import cut, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -218,24 +218,38 @@ _TEST = f"""(WITH t AS (SELECT file_id, project_key, {_STEM} AS stem FROM {FILE}
         UNION ALL SELECT t.file_id, s.file_id, 0, 0, 1 FROM t JOIN s ON s.project_key = t.project_key AND s.stem = t.stem WHERE t.stem NOT IN {NO_NAME}) GROUP BY 1, 2)"""
 
 
-def test_links(spark: SparkSession, folder: str) -> DataFrame:
-    """test, target and the ways that lead from the one to the other: direct, over one file, by name."""
+def _tests_and_sources(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     f = files(spark, folder).withColumn("is_test", paths.has_fragment(F.col("rel_path"), "tests")).withColumn("stem", F.lower(paths.stem(F.col("rel_path"))))
     t = f.where("is_test").select(F.col("file_id").alias("test"), "project_key", "stem")
-    s = f.where("not is_test").select(F.col("file_id").alias("target"), "project_key", "stem")
-    e = edges(spark, folder)
-    one = e.join(t.select(F.col("test").alias("src")), "src", "left_semi").select(F.col("src").alias("test"), F.col("dst").alias("target"))
-    two = one.withColumnRenamed("target", "src").join(e, "src").select("test", F.col("dst").alias("target"))
-    flag = lambda d, *v: d.select("test", "target", *[F.lit(x).alias(n) for x, n in zip(v, ("direct", "transitive", "naming"))])
-    every = flag(one, 1, 0, 0).unionByName(flag(two, 0, 1, 0)).join(s.select("target"), "target", "left_semi")
-    every = every.unionByName(flag(t.where(~F.col("stem").isin(*NO_NAME)).join(s, ["project_key", "stem"]), 0, 0, 1))
-    return every.groupBy("test", "target").agg(*[F.max(c).alias(c) for c in ("direct", "transitive", "naming")])
+    return t, f.where("not is_test").select(F.col("file_id").alias("target"), "project_key", "stem")
+
+
+def test_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """target, n_tests, confidence, n_direct: the tests that reach a file by imports, over any number of files, or have its name.
+
+    Tests that reach the hub of the graph are counted once for all that it reaches; only other pairs are listed.
+    """
+    t, s = _tests_and_sources(spark, folder)
+    e = cut(edges(spark, folder))
+    up, down, rest = graph.reach_by_hub(e, t.select(F.col("test").alias("node")))
+    n_hub = up.count()
+    t = t.join(up.select(F.col("node").alias("test"), F.lit(True).alias("up")), "test", "left")
+    s = s.join(down.select(F.col("node").alias("target"), F.lit(True).alias("down")), "target", "left")
+    named, keys = t.where(~F.col("stem").isin(*NO_NAME)), ["project_key", "stem"]
+    by_name = named.where("up is null").join(s, keys).select("test", "target").unionByName(named.where("up").join(s.where("down is null"), keys).select("test", "target"))
+    rest = rest.select(F.col("origin").alias("test"), F.col("node").alias("target"))
+    others = rest.unionByName(by_name).distinct().groupBy("target").agg(F.count(F.lit(1)).alias("n_others"))
+    direct = e.join(t.select(F.col("test").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("target")).agg(F.count(F.lit(1)).alias("n_direct"))
+    names = named.select(*keys).distinct().withColumn("naming", F.lit(True))
+    rows = s.join(others, "target", "left").join(direct, "target", "left").join(names, keys, "left").fillna(0, ["n_others", "n_direct"])
+    n_tests = F.when(F.col("down"), F.lit(n_hub).cast("long")).otherwise(0) + F.col("n_others")
+    confidence = F.when(F.col("n_direct") > 0, 1.0).when(F.col("naming"), 0.8).otherwise(0.6)
+    return rows.select("target", n_tests.alias("n_tests"), confidence.alias("confidence"), "n_direct").where("n_tests > 0")
 
 
 @query(f"""SELECT target, count(*) AS n_tests, max(CASE WHEN direct = 1 AND naming = 1 THEN 1.0 WHEN direct = 1 THEN 1.0 WHEN naming = 1 THEN 0.8 ELSE 0.6 END)::DOUBLE AS confidence, count(*) FILTER (direct = 1) AS n_direct FROM {_TEST} GROUP BY 1""")
 def test_impact(spark: SparkSession, folder: str) -> DataFrame:
-    confidence = F.when(F.col("direct") == 1, 1.0).when(F.col("naming") == 1, 0.8).otherwise(0.6)
-    return test_links(spark, folder).groupBy("target").agg(F.count(F.lit(1)).alias("n_tests"), F.max(confidence).alias("confidence"), F.count_if(F.col("direct") == 1).alias("n_direct"))
+    return test_counts(spark, folder)
 
 
 @query(f"""SELECT f.file_id, coalesce(n, 0) AS n_importers, CASE WHEN coalesce(n, 0) >= 20 THEN 'P0' WHEN coalesce(n, 0) >= 8 THEN 'P1' WHEN coalesce(n, 0) >= 3 THEN 'P2' ELSE 'P3' END AS priority
@@ -244,7 +258,10 @@ def test_gap(spark: SparkSession, folder: str) -> DataFrame:
     """Files that no test reaches, by how many files import them."""
     f = files(spark, folder).where(~paths.has_fragment(F.col("rel_path"), "tests")).select("file_id")
     n = edges(spark, folder).groupBy(F.col("dst").alias("file_id")).agg(F.count(F.lit(1)).alias("n_importers"))
-    open_files = f.join(test_links(spark, folder).select(F.col("target").alias("file_id")).distinct(), "file_id", "left_anti").join(n, "file_id", "left").fillna(0)
+    t, s = _tests_and_sources(spark, folder)
+    reached = graph.reach(edges(spark, folder), t.select(F.col("test").alias("node"))).select(F.col("node").alias("file_id"))
+    named = s.join(t.where(~F.col("stem").isin(*NO_NAME)), ["project_key", "stem"], "left_semi").select(F.col("target").alias("file_id"))
+    open_files = f.join(reached, "file_id", "left_anti").join(named, "file_id", "left_anti").join(n, "file_id", "left").fillna(0)
     return open_files.withColumn("priority", band(F.col("n_importers"), [(20, "P0"), (8, "P1"), (3, "P2")], "P3"))
 
 
@@ -455,7 +472,7 @@ def recovery_candidates(spark: SparkSession, folder: str) -> DataFrame:
 def review_cockpit(spark: SparkSession, folder: str) -> DataFrame:
     """Three left joins to each file, and the reasons to look at it."""
     links = edges(spark, folder).groupBy(F.col("src").alias("file_id")).agg(F.count(F.lit(1)).alias("n_links"))
-    tests = test_links(spark, folder).groupBy(F.col("target").alias("file_id")).agg(F.count(F.lit(1)).alias("n_tests"))
+    tests = test_counts(spark, folder).select(F.col("target").alias("file_id"), "n_tests")
     hits = found(spark, folder).groupBy(F.col("project").alias("project_key"), F.col("path").alias("rel_path")).agg(F.count(F.lit(1)).alias("n_findings"))
     rows = files(spark, folder).join(links, "file_id", "left").join(tests, "file_id", "left").join(hits, ["project_key", "rel_path"], "left").fillna(0, ["n_links", "n_tests", "n_findings"])
     reasons = F.array_compact(F.array(F.when(F.col("n_tests") == 0, "untested"), F.when(F.col("n_findings") > 0, "findings"), F.when(F.col("n_links") > 10, "coupled")))
