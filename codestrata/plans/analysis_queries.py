@@ -208,7 +208,7 @@ def dead_export_counts(spark: SparkSession, folder: str) -> DataFrame:
     return dead(spark, folder).groupBy("project_key", "reason", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
-NO_NAME = ("index", "main", "__init__", "mod")  # names that tell nothing; their groups would grow with the square of a project
+NO_NAME = ("index", "main", "__init__", "mod")  # left out by the SQL only
 _IS_TEST = "contains('/' || rel_path || '/', '/tests/')"
 _STEM = "lower(regexp_replace(regexp_extract(rel_path, '[^/]*$'), '\\.[^.]*$', ''))"
 _TEST = f"""(WITH t AS (SELECT file_id, project_key, {_STEM} AS stem FROM {FILE} WHERE {_IS_TEST}), s AS (SELECT file_id, project_key, {_STEM} AS stem FROM {FILE} WHERE NOT {_IS_TEST}), e AS {EDGE}
@@ -235,12 +235,12 @@ def test_counts(spark: SparkSession, folder: str) -> DataFrame:
     n_hub = up.count()
     t = t.join(up.select(F.col("node").alias("test"), F.lit(True).alias("up")), "test", "left")
     s = s.join(down.select(F.col("node").alias("target"), F.lit(True).alias("down")), "target", "left")
-    named, keys = t.where(~F.col("stem").isin(*NO_NAME)), ["project_key", "stem"]
-    by_name = named.where("up is null").join(s, keys).select("test", "target").unionByName(named.where("up").join(s.where("down is null"), keys).select("test", "target"))
+    keys = ["project_key", "stem"]
+    by_name = t.where("up is null").join(s, keys).select("test", "target").unionByName(t.where("up").join(s.where("down is null"), keys).select("test", "target"))
     rest = rest.select(F.col("origin").alias("test"), F.col("node").alias("target"))
     others = rest.unionByName(by_name).distinct().groupBy("target").agg(F.count(F.lit(1)).alias("n_others"))
     direct = e.join(t.select(F.col("test").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("target")).agg(F.count(F.lit(1)).alias("n_direct"))
-    names = named.select(*keys).distinct().withColumn("naming", F.lit(True))
+    names = t.select(*keys).distinct().withColumn("naming", F.lit(True))
     rows = s.join(others, "target", "left").join(direct, "target", "left").join(names, keys, "left").fillna(0, ["n_others", "n_direct"])
     n_tests = F.when(F.col("down"), F.lit(n_hub).cast("long")).otherwise(0) + F.col("n_others")
     confidence = F.when(F.col("n_direct") > 0, 1.0).when(F.col("naming"), 0.8).otherwise(0.6)
@@ -260,7 +260,7 @@ def test_gap(spark: SparkSession, folder: str) -> DataFrame:
     n = edges(spark, folder).groupBy(F.col("dst").alias("file_id")).agg(F.count(F.lit(1)).alias("n_importers"))
     t, s = _tests_and_sources(spark, folder)
     reached = graph.reach(edges(spark, folder), t.select(F.col("test").alias("node"))).select(F.col("node").alias("file_id"))
-    named = s.join(t.where(~F.col("stem").isin(*NO_NAME)), ["project_key", "stem"], "left_semi").select(F.col("target").alias("file_id"))
+    named = s.join(t, ["project_key", "stem"], "left_semi").select(F.col("target").alias("file_id"))
     open_files = f.join(reached, "file_id", "left_anti").join(named, "file_id", "left_anti").join(n, "file_id", "left").fillna(0)
     return open_files.withColumn("priority", band(F.col("n_importers"), [(20, "P0"), (8, "P1"), (3, "P2")], "P3"))
 

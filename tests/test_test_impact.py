@@ -60,3 +60,9 @@ def test_counts_in_a_graph_with_cycles(spark, tmp_path, seed):
     files = {k: (rng.choice("pq"), f"{'tests' if k % 4 == 0 else 'src'}/n{rng.randrange(15)}.ts") for k in range(60)}
     links = {(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(75)) if a != b}
     check(spark, str(tmp_path), files, links)
+
+
+def test_no_name_is_left_out(spark, tmp_path):
+    files = {k: ("p", f"src/a{k}/{name}.ts") for k, name in enumerate(("index", "main", "mod", "__init__", "other"))}
+    files |= {k + 10: ("p", f"tests/{name}.ts") for k, name in enumerate(("index", "main", "mod", "__init__"))} | {20: ("p", "tests/b/index.ts")}
+    check(spark, str(tmp_path), files, {(20, 0), (20, 4)})
