@@ -88,26 +88,38 @@ def suffix_lookup(wanted: DataFrame, nodes: DataFrame, max_segments: int = 8) ->
     return found.select("path", node.alias("node"), status.alias("status"))
 
 
-def similar_by_tokens(left: DataFrame, right: DataFrame, threshold: float, common: int) -> DataFrame:
-    """left_id, right_id, similarity (Jaccard of token sets) of pairs that share a telling token.
+def jaccard(a: str, b: str) -> Column:
+    """Of two arrays without repeats; 0 if both are empty."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.coalesce(F.try_divide(shared, F.size(a) + F.size(b) - shared), F.lit(0.0))
 
-    left, right: id, tokens. Candidates come from an inverted index; a token that more than
-    ``common`` rights hold proposes no pair, but counts in the similarity.
+
+def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """left, right, similarity of all pairs of sets that share a token and reach the threshold.
+
+    left: left, right: right, sorted arrays without repeats. A pair of the threshold shares one of the
+    rarest tokens of either side, n - ceil(n threshold) + 1 of n; only those propose pairs.
     """
-    posted = right.select(F.col("id").alias("right_id"), F.explode(F.array_distinct("tokens")).alias("token"))
-    rare = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= common).select("token")
-    proposed = (
-        left.select(F.col("id").alias("left_id"), F.explode(F.array_distinct("tokens")).alias("token"))
-        .join(posted.join(rare, "token"), "token")
-        .select("left_id", "right_id")
-        .where("left_id <> right_id")
-        .distinct()
-    )
-    a = left.select(F.col("id").alias("left_id"), F.array_distinct("tokens").alias("a"))
-    b = right.select(F.col("id").alias("right_id"), F.array_distinct("tokens").alias("b"))
-    shared = F.size(F.array_intersect("a", "b"))
-    scored = proposed.join(a, "left_id").join(b, "right_id").withColumn("similarity", shared / (F.size("a") + F.size("b") - shared))
-    return scored.where(F.col("similarity") >= threshold).select("left_id", "right_id", "similarity")
+    each = left.select(F.col("left").alias("s")).unionByName(right.select(F.col("right").alias("s"))).distinct()
+    tokens = each.select("s", F.explode("s").alias("token"))
+    ranked = tokens.join(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token").groupBy("s").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("r"))
+    needed = F.greatest(F.lit(1), F.ceil(F.size("s") * F.lit(threshold) - 1e-9))  # tokens that a pair shares at least
+    posted = ranked.select("s", F.explode(F.slice("r", F.lit(1), (F.size("s") - needed + 1).cast("int"))["token"]).alias("token"))
+    side = lambda d, name: posted.withColumnRenamed("s", name).join(d.select(name).distinct(), name, "left_semi")
+    close = (F.size("left") >= F.size("right") * F.lit(threshold) - 1e-9) & (F.size("right") >= F.size("left") * F.lit(threshold) - 1e-9)
+    pairs = side(left, "left").join(side(right, "right"), "token").where(close).select("left", "right", jaccard("left", "right").alias("similarity"))
+    return pairs.where(F.col("similarity") >= threshold).distinct()
+
+
+def similar_by_tokens(left: DataFrame, right: DataFrame, threshold: float, common: int | None = None) -> DataFrame:
+    """left_id, right_id, similarity (Jaccard of token sets) of all pairs that share a token and reach the threshold.
+
+    left, right: id, tokens. Equal sets are compared once. ``common`` changes nothing: frequent tokens count like others.
+    """
+    side = lambda d, name: d.select(F.col("id").alias(f"{name}_id"), F.sort_array(F.array_distinct("tokens")).alias(name))
+    a, b = side(left, "left"), side(right, "right")
+    pairs = similar_sets(a, b, threshold).join(a, "left").join(b, "right")
+    return pairs.where("left_id <> right_id").select("left_id", "right_id", "similarity")
 
 
 def in_all_instances(df: DataFrame, group: str, instance: str, value: str) -> DataFrame:

@@ -531,12 +531,18 @@ def variation_reconciler(spark: SparkSession, folder: str) -> DataFrame:
     f = files(spark, folder)
     first, second = [r[0] for r in f.groupBy("project_key").count().orderBy(F.desc("count"), "project_key").limit(2).collect()]
     words = paths.identifier_tokens(F.concat_ws(" ", paths.dirname(F.col("rel_path")), paths.stem(F.col("rel_path"))))
-    side = lambda p: f.where(F.col("project_key") == p).select(F.col("file_id").alias("id"), words.alias("tokens"), F.lower(paths.stem(F.col("rel_path"))).alias("stem"), "size_bytes")
+    side = lambda p: f.where(F.col("project_key") == p).select(F.col("file_id").alias("id"), F.sort_array(F.array_distinct(words)).alias("tokens"), F.lower(paths.stem(F.col("rel_path"))).alias("stem"), "size_bytes")
     a, b = side(first), side(second)
-    pairs = rel.similar_by_tokens(a, b, 0.0, 2000).join(a.select(F.col("id").alias("left_id"), F.col("stem").alias("ls"), F.col("size_bytes").alias("lz")), "left_id")
-    pairs = pairs.join(b.select(F.col("id").alias("right_id"), F.col("stem").alias("rs"), F.col("size_bytes").alias("rz")), "right_id")
-    pairs = pairs.withColumn("score", 0.5 * (F.col("ls") == F.col("rs")).cast("double") + 0.5 * F.col("similarity")).where("score >= 0.4")
-    best = rel.best_per_key(pairs, ["left_id"], [F.desc("score"), F.col("right_id")])
+    # Files of the same stem and words have the same best partner; of partners alike the first by id.
+    kinds = a.select(F.col("tokens").alias("left"), F.col("stem").alias("ls")).distinct()
+    partners = b.groupBy(F.col("tokens").alias("right"), F.col("stem").alias("rs")).agg(F.min("id").alias("right_id"))
+    # 0.4 is reached by the stem alone, or by words that are alike by 0.8.
+    by_words = kinds.join(rel.similar_sets(kinds, partners, 0.8), "left").join(partners, "right")
+    by_stem = kinds.join(partners, F.col("ls") == F.col("rs")).withColumn("similarity", rel.jaccard("left", "right"))
+    pairs = by_words.unionByName(by_stem).withColumn("score", 0.5 * F.coalesce(F.col("ls") == F.col("rs"), F.lit(False)).cast("double") + 0.5 * F.col("similarity")).where("score >= 0.4")
+    best = rel.best_per_key(pairs, ["left", "ls"], [F.desc("score"), F.col("right_id")])
+    best = best.join(a.select(F.col("id").alias("left_id"), F.col("tokens").alias("left"), F.col("stem").alias("ls"), F.col("size_bytes").alias("lz")), ["left", "ls"])
+    best = best.join(b.select(F.col("id").alias("right_id"), F.col("size_bytes").alias("rz")), "right_id")
     state = F.when((F.col("similarity") == 1) & (F.col("ls") == F.col("rs")) & F.col("lz").eqNullSafe(F.col("rz")), "identical").when(F.col("score") >= 0.7, "refined").otherwise("drift")
     told = best.select("left_id", "right_id", "score", state.alias("state"))
     none = F.lit(None)

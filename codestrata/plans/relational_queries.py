@@ -405,7 +405,7 @@ def similar_names(spark: SparkSession, folder: str) -> DataFrame:
     largest = [r[0] for r in f.groupBy("project_key").count().orderBy(F.desc("count"), "project_key").limit(2).collect()]
     tokens = paths.identifier_tokens(F.concat_ws(" ", paths.dirname(F.col("rel_path")), paths.stem(F.col("rel_path"))))
     side = lambda p: f.where(F.col("project_key") == p).select(F.col("file_id").alias("id"), tokens.alias("tokens"))
-    return rel.similar_by_tokens(side(largest[0]), side(largest[-1]), 0.7, 2000)
+    return rel.similar_by_tokens(side(largest[0]), side(largest[-1]), 0.7)
 
 
 # Functions
