@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codestrata.functions import paths
 from codestrata.functions.scores import band, capped, clamp, compare, ratio
 from codestrata.operators import findings as fnd
-from codestrata.operators import graph, scans
+from codestrata.operators import drift, graph, scans
 from codestrata.operators import relational as rel
 from codestrata.plans.common import EDGE, EXPORT, FILE, KIND, PAYLOAD, edges, exports, files, kind, records
 from codestrata.session import cut, table
@@ -422,10 +422,10 @@ def source_brace_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def snapshot_likeness(spark: SparkSession, folder: str) -> DataFrame:
-    """How alike each payload is to the one before it of the same name."""
-    p = table(spark, folder, "state_payloads").where("coalesce(storage_mode, 'inline_json') = 'inline_json'").select("name", "generation_id", "updated_at", "payload").distinct()
-    at = F.regexp_replace(F.regexp_replace("updated_at", "T", " "), "Z$", "")
-    previous = F.lag("payload").over(Window.partitionBy("name").orderBy(at, "generation_id"))
+    """How alike each payload, inline or in parts, is to the one before it of the same name."""
+    p = drift.assembled(table(spark, folder, "state_payloads"), table(spark, folder, "state_payload_parts"))
+    p = p.withColumn("payload", F.make_valid_utf8(F.col("content").cast("string")))
+    previous = F.lag("payload").over(Window.partitionBy("name").orderBy("at", "generation_id"))
     return p.withColumn("previous", previous).where("previous is not null").select("name", "generation_id", scans.likeness("previous", "payload").alias("likeness"))
 
 
