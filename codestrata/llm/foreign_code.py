@@ -1,9 +1,10 @@
 """Source files that nobody wrote by hand in the project.
 
-Method: the lines of the staged heads are hashed into an inverted index; rare lines (in few files)
-give the files of other projects that share them, and a file all of whose telling lines lie in one
-known third-party file, with the same size, is a vendored copy, also without its banner. Rules on
-paths, on the opening comment and on the composition of tokens classify all other files.
+Method: the lines of the staged heads are hashed into an inverted index over sets of lines; the rare
+lines of a file propose third-party files of other projects, and a file is a vendored copy, edited or
+not, with or without its banner, if its lines are contained in one of them by CONTAINMENT or more,
+weighed by rarity. Files that say themselves what they are (paths, the opening comment) are the known
+ones; the composition of tokens classifies all other files.
 
 Defined results
 ---------------
@@ -11,14 +12,18 @@ Defined results
 * Paths are compared with ``/`` and without leading ``./``; a null path gives no row.
 * A payload that isn't JSON, or misses fields, leaves the rules on paths; an empty head leaves them too.
 * A file with several reasons gets the first of: generated, third_party, minified, data.
-* Length, size or age alone never count.
+* Length, size or age alone never count. A file whose head holds less than EVIDENCE characters of rare
+  code lines can't be told to be a copy by the index. Comments and blank lines are no evidence.
+* A null project_key is no other project, so that nothing is a copy of its files or among them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codestrata.session import cut
+
 # Directories and names that tools, package managers and bundlers write to.
 GENERATED_PATH = (
     r"(?i)(^|/)(__generated__|generated-sources|generated|autogen|zz_generated[^/]*)(/|$)"
@@ -48,7 +53,8 @@ THIRD_PARTY_HEAD = (
     r"(licen[cs]e|upstream|\(c\)|copyright|\bbsd\b|\bmit\b|apache)"
 )
 NUMBER, WORD = r"(?:^|[^\w.])\d[\d.]*", r"[^\W\d]{2,}"
-REMARK = r"(?m)^\s*(//|#|/\*)\s*\w+(\s+\w+){2,}"
+REMARK = r"(?m)^\s*(//|#|/\*)\s*\w+\s+\w+"
+COMMENT_LINE = r"^(//|#|/?\*|<!--|--)"
 ENCODED = r"base64,[A-Za-z0-9+/]{40,}|(\\\\?x[0-9a-fA-F]{2}){12,}|[A-Za-z0-9+/]{120,}"
 OPENING_COMMENT = r"(?s)^\s*/\*.*?\*/\s*"
 
@@ -56,9 +62,8 @@ LONG_LINE = 400  # characters a line from which on the composition of tokens may
 PACKED_SPACE = 0.085  # share of white space below which such text isn't laid out for reading
 DATA_NUMBERS = 0.42  # share of numbers among the tokens from which on a file is rows of numbers,
 DATA_DIGITS = 0.17  # or of digits among the characters, as in tables of long numbers
-DATA_BYTES = 16_000  # below it, a list of numbers may be constants kept by hand
-RARE_FILES = 32  # a line in more files is no evidence of a copy
-TELLING_LINES = 3  # rare lines that a copy must share
+CONTAINMENT = 0.8  # share of a file's lines, by weight, that lie in one third-party file
+EVIDENCE = 160.0  # characters of rare lines below which a likeness may be chance
 
 
 def clean_path(path: Column) -> Column:
@@ -94,12 +99,14 @@ def head_reason(head: Column, size: Column, loc: Column, longest: Column) -> Col
     share = lambda rx: (F.length(body) - F.length(F.regexp_replace(body, rx, ""))) / n
     line = F.coalesce(longest, F.try_divide(size, loc), F.when(~F.rtrim(head).contains("\n"), size))
     long_lines = line >= LONG_LINE
-    # Runs of base64 or of escaped bytes are data however short; rows of numbers need a size.
+    # Runs of base64 or of escaped bytes are data however short; rows of numbers if they go on beyond the head.
     encoded = body.rlike(ENCODED)
     n_numbers, n_words = F.regexp_count(body, F.lit(NUMBER)), F.regexp_count(body, F.lit(WORD))
     rows = F.coalesce(F.try_divide(n_numbers, n_numbers + n_words), F.lit(0.0)) >= DATA_NUMBERS
     remarks = body.rlike(REMARK)  # somebody keeps them
-    numbers = (rows | (share("[0-9]") >= DATA_DIGITS)) & (n_numbers >= 4) & (size >= DATA_BYTES) & ~remarks
+    signs = lambda rx: F.regexp_count(body, F.lit(rx))
+    goes_on = signs(r"[\[({]") > signs(r"[\])}]")  # a list that ends within the head is a handful of constants
+    numbers = (rows | (share("[0-9]") >= DATA_DIGITS)) & (n_numbers >= 4) & goes_on & ~remarks
     return (
         F.when(head.rlike(GENERATED_HEAD), "generated")
         .when(head.rlike(THIRD_PARTY_HEAD), "third_party")
@@ -109,37 +116,63 @@ def head_reason(head: Column, size: Column, loc: Column, longest: Column) -> Col
     )
 
 
-def vendored_copies(heads: DataFrame, known: DataFrame) -> DataFrame:
-    """project_key, rel_path of files whose head and size are those of another project's third-party file.
+def code_lines(head: Column) -> Column:
+    """The distinct lines of a head that aren't blank and no comment, as (hash, length), in order of the hash."""
+    lines = F.transform(F.split(F.regexp_replace("head", OPENING_COMMENT, ""), r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    kept = F.filter(lines, lambda x: (x != "") & ~x.rlike(COMMENT_LINE))
+    return F.sort_array(F.array_distinct(F.transform(kept, lambda x: F.struct(F.xxhash64(x).alias("line"), F.length(x).alias("size")))))
+
+
+def line_sets(told: DataFrame) -> DataFrame:
+    """set_id, lines, known, asked, owner_low, owner_high: files with the same lines are one set, however many they are.
 
-    heads: project_key, rel_path, size_bytes, head. known: those of them that are third-party.
-    Every line goes into the index; a posting list longer than RARE_FILES is no evidence and is
-    left out as a whole, so that the join can't grow with the square of a common line.
+    told: project_key, set_id, lines, reason. owner_low and owner_high are the first and last project that
+    holds the set as third-party code.
     """
-    lines = (
-        heads.withColumn("line", F.explode(F.array_distinct(F.split(F.regexp_replace("head", "\r", ""), "\n"))))
-        .where(F.length(F.trim("line")) >= 12)
-        .select("project_key", "rel_path", "size_bytes", F.xxhash64("line").alias("line"))
-        .distinct()
-    )
-    rare = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, RARE_FILES)).select("line")
-    posted = lines.join(rare, "line")
-    files = posted.groupBy("project_key", "rel_path", "size_bytes").agg(F.count(F.lit(1)).alias("n_lines")).where(F.col("n_lines") >= TELLING_LINES)
-    owned = posted.join(known.select("project_key", "rel_path").distinct(), ["project_key", "rel_path"], "left_semi").select(
-        "line", "size_bytes", F.col("project_key").alias("owner"), F.col("rel_path").alias("owner_path")
+    third = F.col("reason").eqNullSafe("third_party")
+    return told.where(F.size("lines") > 0).groupBy("set_id").agg(
+        F.first("lines").alias("lines"),
+        F.bool_or(third).alias("known"),
+        F.bool_or(~third).alias("asked"),
+        F.min(F.when(third, F.col("project_key"))).alias("owner_low"),
+        F.max(F.when(third, F.col("project_key"))).alias("owner_high"),
     )
+
+
+def vendored_copies(told: DataFrame, containment: float = CONTAINMENT, evidence: float = EVIDENCE) -> DataFrame:
+    """project_key, rel_path, share of files whose lines lie in a third-party file of another project.
+
+    told: project_key, rel_path, set_id, lines, reason. A line weighs its length, and less from the square root
+    of all sets on, to nothing if all hold it: length min(1, 2 - 2 log(df) / log(n)). A file is a copy if lines of ``containment`` of its weight, and of
+    ``evidence`` at least, are in one set. Exact: if a file's lines are put in order of rarity, one of those
+    before the rest that weighs less than this must be shared, and only these look up the index of the
+    known sets. No line is left out for being common.
+    """
+    sets = cut(line_sets(told))
+    posted = sets.select("set_id", "known", "asked", F.explode("lines").alias("l")).select("set_id", "known", "asked", "l.line", "l.size")
+    n_sets = F.greatest(sets.agg(F.count(F.lit(1))).scalar(), F.lit(2))
+    df = posted.groupBy("line").agg(F.count(F.lit(1)).alias("df"))
+    weight = F.col("size") * F.least(F.lit(1.0), 2 * (1 - F.log("df") / F.log(n_sets.cast("double") + 1)))
+    posted = cut(posted.join(df, "line").select("set_id", "known", "asked", "line", "df", weight.alias("weight")))
+    each = Window.partitionBy("set_id")
+    asked = posted.where("asked").withColumn("total", F.sum("weight").over(each)).where(F.col("total") >= evidence)
+    asked = asked.withColumn("least", F.greatest(F.col("total") * containment, F.lit(evidence)))
+    rest = F.sum("weight").over(each.orderBy(F.desc("df"), "line"))  # of this line and all more common ones
+    rare = asked.withColumn("rest", rest).where("rest >= least - 1e-9")
+    owned = posted.where("known").select(F.col("set_id").alias("owner"), "line")
+    pairs = rare.join(owned, "line").select("set_id", "owner").distinct()
     shared = (
-        posted.join(owned, ["line", "size_bytes"])
-        .where("owner <> project_key")
-        .groupBy("project_key", "rel_path", "size_bytes", "owner", "owner_path")
-        .agg(F.count(F.lit(1)).alias("n_shared"))
-    )
-    return (
-        shared.join(files, ["project_key", "rel_path", "size_bytes"])
-        .where("n_shared = n_lines")  # containment of 1
-        .select("project_key", "rel_path")
-        .distinct()
+        pairs.join(asked.select("set_id", "line", "weight", "total", "least"), "set_id")
+        .join(owned, ["owner", "line"])
+        .groupBy("set_id", "owner")
+        .agg(F.sum("weight").alias("shared"), F.first("total").alias("total"), F.first("least").alias("least"))
+        .where("shared >= least - 1e-9")
     )
+    owners = sets.select(F.col("set_id").alias("owner"), "owner_low", "owner_high")
+    hits = shared.join(owners, "owner").select("set_id", (F.col("shared") / F.col("total")).alias("share"), "owner_low", "owner_high")
+    files = told.where("reason is null or reason <> 'third_party'").select("project_key", "rel_path", "set_id")
+    other = (F.col("owner_low") != F.col("project_key")) | (F.col("owner_high") != F.col("project_key"))
+    return files.join(hits, "set_id").where(other).groupBy("project_key", "rel_path").agg(F.max("share").alias("share"))
 
 
 def foreign_files(files: DataFrame, staged: DataFrame) -> DataFrame:
@@ -155,7 +188,11 @@ def foreign_files(files: DataFrame, staged: DataFrame) -> DataFrame:
             head_reason(F.col("head"), F.col("size_bytes"), F.col("loc"), F.col("longest_line")), path_reason(F.col("rel_path"))
         ),
     )
-    copies = vendored_copies(heads.where("head is not null and rel_path is not null"), told.where("reason = 'third_party'"))
+    # Parsed and judged once; the lines are read again by the index.
+    told = cut(told.withColumn("lines", F.coalesce(code_lines(F.col("head")), F.array().cast("array<struct<line:bigint,size:int>>"))).select(
+        "project_key", "rel_path", "reason", "lines", F.md5(F.col("lines").cast("string")).alias("set_id")
+    ))
+    copies = vendored_copies(told).select("project_key", "rel_path")
     every = (
         by_path.unionByName(told.select("project_key", "rel_path", "reason"))
         .where("reason is not null")

@@ -44,10 +44,43 @@ def test_heads(spark):
     }
 
 
+def library(n, edit=None):
+    lines = [f"export function {w}(one, two) {{ return one.{w}Of(two.{w}); }}" for w in ("alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta")]
+    if edit is not None:
+        lines[n % 7] = edit
+    return "\n".join(lines) + "\n"
+
+
+def others(n):
+    return [staged(f"src/o{k}.js", f"import React from 'react';\nexport const value{k} = read{k}({k});\n", project="O") for k in range(n)]
+
+
 def test_copies_without_a_banner(spark):
-    head = "export function alpha(one) {\n  return one.alphaBeta();\nexport function gamma(two) {\n  return two.gammaDelta();\n"
-    rows = [staged("vendor/lib/a.js", head, 1234, project="A"), staged("src/own.js", head, 1234, project="B"), staged("src/grown.js", head, 9999, project="B"), staged("src/x.js", "export function alpha(one) {\n", 1234, project="C")]
-    assert found(spark, rows) == {"vendor/lib/a.js": "third_party", "src/own.js": "third_party"}
+    grown = library(0) + "export const added = one => one.more(1);\n"
+    longer = library(0) + "".join(f"export const own{k} = mine{k} => mine{k}.written(by, hand, {k});\n" for k in range(6))
+    rows = [
+        staged("vendor/lib/a.js", library(0), 1234, project="A"), staged("src/same.js", library(0), 1234, project="B"), staged("src/edited.js", library(2, "export const x = 1;"), 1200, project="B"),
+        staged("src/grown.js", grown, 9999, project="B"), staged("src/longer.js", longer, 9999, project="B"), staged("src/mine.js", library(0), 1234, project="A"),
+        staged("src/part.js", library(0)[:150], 400, project="C"), staged("src/crlf.js", library(0).replace("\n", "\r\n"), 1300, project="C"), staged("src/nobody.js", library(0), 1234, project=None),
+    ]
+    assert found(spark, rows + others(30)) == {k: "third_party" for k in ("vendor/lib/a.js", "src/same.js", "src/edited.js", "src/grown.js", "src/crlf.js")}
+
+
+def test_copies_however_many(spark):
+    rows = [staged("vendor/lib/a.js", library(0), project="A")] + [staged(f"src/c{k}.js", library(k, f"export const edit{k} = {k};"), 100 + k, project=f"P{k}") for k in range(40)]
+    rows += [staged(f"src/e{k}.js", library(0), project=f"P{k}") for k in range(40)]
+    assert len(found(spark, rows + others(400))) == 81
+
+
+def test_common_lines_are_no_evidence(spark):
+    common = "".join(f"import {{ thing{k} }} from 'react-toolkit-of-things';\n" for k in range(8))
+    rows = [staged("vendor/lib/a.js", common, project="A")] + [staged(f"src/c{k}.js", common + f"const x{k} = {k};\n", project="B") for k in range(30)]
+    assert found(spark, rows) == {"vendor/lib/a.js": "third_party"}
+
+
+def test_small_tables_of_numbers(spark):
+    rows = [staged("a.ts", "export const T = [\n  [12.5, 7.25, 91.125],\n  [0.5, 44.75, 3.5],\n", 900), staged("b.ts", "export const T = [12, 7, 91, 44, 3];\n", 90_000)]
+    assert found(spark, rows) == {"a.ts": "data"}
 
 
 def test_broken_payloads_nulls_and_empty_tables(spark):
