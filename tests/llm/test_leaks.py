@@ -53,7 +53,65 @@ def test_long_text_over_shards(monkeypatch):
     noise = [RNG.choice(WORDS) for _ in range(20_000)]
     texts = ["zzz " * 300, " ".join(noise[:9000] + PASSAGES[4] + noise[9000:]), None, " ".join(PASSAGES[5][:20])]
     got = leaks._scan(passages, texts)
-    assert {k for k in got} == {(1, 4), (3, 5)} and got[1, 4] >= 40
+    assert {k for k in got} == {(1, 4), (3, 5)} and got[1, 4][0] >= 40
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=40), st.integers(1, 12))
+def test_suffix_array_against_sorting(ids, depth):
+    order = leaks.suffix_array(np.array(ids, dtype=np.int32), depth).tolist()
+    assert sorted(order) == [k for k, x in enumerate(ids) if x]
+
+    def tail(k):
+        stop = ids.index(0, k) if 0 in ids[k:] else len(ids)
+        return ids[k:stop][:depth]
+
+    assert [tail(k) for k in order] == sorted(tail(k) for k in order)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.sampled_from([-1, 1, 2, 3]), min_size=1, max_size=12))
+def test_longest_matches_against_all_places(ids, own):
+    side = leaks._Side(own, [1] * len(own), 2)
+    ids = np.array(ids, dtype=np.int64)
+
+    def match(t, p):
+        n = 0
+        while t + n < len(own) and p + n < len(ids) and own[t + n] == ids[p + n] > 0:
+            n += 1
+        return n
+
+    length, place = leaks.longest_matches(side, ids, leaks.suffix_array(ids, side.depth))
+    for t, n, p in zip(side.starts.tolist(), length.tolist(), place.tolist()):
+        assert n == max([match(t, p) for p in range(len(ids))], default=0)
+        assert n == 0 or match(t, p) == n
+
+
+def test_locations(spark):
+    docs = spark.createDataFrame([(1, "x y. " + " ".join(PASSAGES[1][5:25]), None, None)], DOCS)
+    items = spark.createDataFrame([(1, "s", "en", " ".join(PASSAGES[1]))], ITEMS)
+    assert [tuple(r) for r in leaks.leaks(docs, items).collect()] == [(1, 1, 20, 2, 5)]
+
+
+def test_a_text_under_several_questions_is_a_passage(spark):
+    context = " ".join(PASSAGES[1] + PASSAGES[2][:20])
+    items = [(k, "s", "en", ASK + context + f" what is the {w} of it") for k, w in enumerate(("first", "second", "third"))]
+    assert {k for _, k in found(spark, [(1, "as in " + context)], items)} == {0, 1, 2}
+    items += [(10 + k, "s", "en", ASK + " ".join(PASSAGES[k])) for k in range(3, 6)] * 2
+    assert set(found(spark, [(1, "as in " + context), (2, ASK + " ".join(RNG.choice(WORDS) for _ in range(40)))], items)) == {(1, 0), (1, 1), (1, 2)}
+
+
+def test_blocks_split_suites(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", 400)
+    assert set(found(spark, [(k, " ".join(p)) for k, p in PASSAGES.items()] + [(8, ASK * 3)])) == {(k, k) for k in PASSAGES}
+
+
+def test_long_tags_and_many_places(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "PAIRS", 7)
+    p = PASSAGES[1]
+    tag = '<a href="' + "u" * 900 + '" class=x disabled>'
+    docs = [(1, " ".join(p[:10]) + tag + " " + " ".join(p[10:20])), (2, " ".join(p * 5)), (3, " ".join(p[:10]) + "](" + "u" * 900 + ") " + " ".join(p[10:20]))]
+    assert set(found(spark, docs)) == {(1, 1), (2, 1), (3, 1)}
 
 
 def brute(equal, kept):
