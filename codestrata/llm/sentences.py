@@ -2,12 +2,16 @@
 
 Method: a text is cut into blocks (paragraphs, headings, list items); within a block every mark
 that may close a sentence, and in scripts that write none every space, is a candidate, and semi-
-Markov dynamic programming chooses the spans: the score of a span adds its length, its closing
-word, the opening word of the next one, and whether its quotation marks and brackets are balanced.
+Markov dynamic programming chooses the spans of every block: the score of a span adds its length, its
+closing word, the opening word of the next one, and whether its quotation marks and brackets are
+balanced. It is linear in the candidates: what a span's length is worth doesn't change beyond
+LONGEST, so that of all earlier beginnings only the best one of each state of quotations is kept.
 
-Scripts without marks (Thai) get the scores of opening words from the texts themselves: how often a
-word begins a block against how often it follows a space within one (``fit_openers``, counted over
-all documents).
+Two things are learned from all texts at each run (``fit``): abbreviations of any language, words that
+have their full stop nearly always and hardly ever at the end of a paragraph; and, for scripts without
+marks (Thai), how often a run of letters begins a block against how often it follows a space within
+one, for the first letters of several lengths, the longer ones smoothed by the shorter. The word lists
+below are what is known beforehand.
 
 Defined results
 ---------------
@@ -26,9 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MODEL_SIZE = 50_000  # opening words kept, the most frequent ones
-PREFIX = 6  # characters that stand for an opening word in a script without spaces between words
+from codestrata.session import cut
+
+RAREST = 1e-5  # share of all counts below which nothing is learned; so at most 100,000 keys are kept
+PREFIXES = (3, 4, 6, 8, 12)  # letters that stand for an opening word in a script without spaces between words
+SMOOTHING = 1.0  # how many counts the shorter prefix is worth
+LEAST_STOPS = 14.0  # full stops of a word that chance would put at the end of a paragraph: exp(-14) is 1e-6
 UNBALANCED = 50.0
+LONGEST = 400  # characters beyond which a span's length is worth the same
+USUAL = {"spaced": 80.0, "unspaced": 60.0, "cjk": 30.0}  # characters of a usual span
 CLEAR, LIKELY, DOUBTFUL, UNLIKELY, NEVER = 2.5, 1.5, -0.5, -2.0, -99.0
 
 SPACED_SCRIPT = "฀-๿຀-໿"  # sentences are divided by spaces
@@ -44,6 +54,10 @@ JOINERS = frozenset(
 )
 BEFORE_NUMBERS = frozenset("no nos nr nrs núm num fig figs abb p pp pg pág págs pag s vol ch chap sec sect art abs col cols eq tab l ll рис стр гл табл п разд n".split())
 MAY_END = frozenset("etc usw u.s u.k u.n e.u a.m p.m др т.д т.п al inc ltd co corp jr bros с ч г кг мин сек".split())
+# Titles and the like in the case given: in another one they are words that end sentences.
+CASED = frozenset(
+    "sig Sig bijv Bijv np Pvt Assn Pr Sta Sto Dott Avv Dhr dhr Mevr mevr Drs blz inż św tzn tj ok wg Maj Cpl Cmdr Gov Dept Univ Mgr Exmo Exma Profa".split()
+)
 ORDINAL_BEFORE = frozenset("am im beim zum vom zur der dem den des das die ab seit bis jeder jedem".split())
 OPENING_WORDS = frozenset("the a an this that these those it we he she they i you our his her their one every some no if when after before in on at as but and".split())
 
@@ -153,7 +167,7 @@ def _word_before(text: str, start: int, at: int) -> tuple[str, int]:
     return text[first:at], first
 
 
-def _full_stop(text: str, start: int, at: int, after: int, end: int, spaced: bool, kind: str) -> float:
+def _full_stop(text: str, start: int, at: int, after: int, end: int, spaced: bool, kind: str, learned: frozenset[str]) -> float:
     """The score of a sentence that closes with the full stop at ``at``."""
     word, first = _word_before(text, start, at)
     if (glued := _GLUED.search(word)) and glued[1][0].isupper():  # the space after the sentence before it is missing
@@ -179,6 +193,8 @@ def _full_stop(text: str, start: int, at: int, after: int, end: int, spaced: boo
         return NEVER
     if len(word) == 1 and word.isupper() and not _ends_in_number(text, start, first):
         return NEVER  # an initial
+    if word in CASED:
+        return NEVER
     if low in JOINERS or low in TITLES:
         if len(low) == 1 and first > start and _ends_in_number(text, start, first):
             return CLEAR if kind in ("upper", "name") else UNLIKELY
@@ -195,6 +211,8 @@ def _full_stop(text: str, start: int, at: int, after: int, end: int, spaced: boo
         return CLEAR if kind in ("upper", "name", "other") else UNLIKELY
     if len(word) == 1 and word.isalpha() and not _CASELESS.match(word):
         return NEVER  # an initial
+    if low in learned and (len(low) <= 3 or kind != "upper"):
+        return UNLIKELY  # a longer word before a capital may still be what closes a sentence
     if word.isdigit() and len(word) <= 3 and kind == "upper":
         before, _ = _word_before(text, start, len(text[start:first].rstrip()) + start)
         if before.lower() in ORDINAL_BEFORE:
@@ -209,7 +227,7 @@ def _ends_in_number(text: str, start: int, at: int) -> bool:
     return bool(before) and before[-1].isdigit()
 
 
-def candidates(text: str, start: int, end: int, openers: dict[str, float] | None):
+def candidates(text: str, start: int, end: int, openers: dict[str, float] | None, learned: frozenset[str] = frozenset()):
     """[(end, score, state)] of a block, by end, and the state of quotations and brackets at its end."""
     found: list[tuple[int, float, tuple[int, int, int]]] = []
     straight = quotes = brackets = 0
@@ -291,7 +309,7 @@ def candidates(text: str, start: int, end: int, openers: dict[str, float] | None
         elif emoji:
             score = CLEAR
         else:
-            score = _full_stop(text, start, at, after, end, spaced, kind)
+            score = _full_stop(text, start, at, after, end, spaced, kind, learned)
         if score > NEVER:
             found.append((stop, score, (s, q, b)))
     if openers is not None and _SPACED.search(text, start, end):
@@ -305,7 +323,7 @@ def candidates(text: str, start: int, end: int, openers: dict[str, float] | None
                 continue
             if not (_SPACED.match(text[at - 1]) or _SPACED.match(text[m.end()])):
                 continue
-            score = openers.get(opening(text[m.end():m.end() + PREFIX]), UNLIKELY)
+            score = opening_score(openers, text[m.end():m.end() + PREFIXES[-1]])
             if text[at - 4:at] in ("ครับ", "นะคะ") or text[at - 3:at] == "ค่ะ":
                 score += 1.0
             found.append((at, score, states[pointer][1]))
@@ -313,58 +331,88 @@ def candidates(text: str, start: int, end: int, openers: dict[str, float] | None
     return found, (straight, quotes, brackets)
 
 
-def opening(chunk: str) -> str:
-    """What stands for an opening word: some letters of a script without spaces, else a class."""
+def opening(chunk: str) -> list[str]:
+    """What stands for an opening word: letters of a script without spaces, the longest first, else a class."""
     c = chunk[:1]
     if _SPACED.match(c):
-        return chunk.split(" ")[0][:PREFIX]
-    return "0" if c.isdigit() else "a" if c.isalpha() else "."
+        word = _SPACE.split(chunk, 1)[0]
+        return [word[:n] for n in reversed(PREFIXES) if n <= len(word)] or [word]
+    return ["0" if c.isdigit() else "a" if c.isalpha() else "."]
+
+
+def opening_score(openers: dict[str, float], chunk: str) -> float:
+    """The score of the longest known beginning."""
+    for key in opening(chunk):
+        if key in openers:
+            return openers[key]
+    return UNLIKELY
+
+
+def usual_length(text: str, start: int, end: int) -> float:
+    probe = text[start:end]
+    if _SPACED.search(probe):
+        return USUAL["unspaced"]
+    return USUAL["cjk"] if len(_CJK.findall(probe)) * 2 > len(probe) else USUAL["spaced"]
+
+
+def length_score(n: int, usual: float) -> float:
+    """Up to 0.3 for a usual length and down to -0.3 for a very short or long one; none has less than two characters."""
+    if n < 2:
+        return NEVER
+    far = math.log(min(n, LONGEST) / usual)
+    return max(-0.3, 0.3 - 0.15 * far * far)
 
 
-def spans(text: str, start: int, end: int, openers: dict[str, float] | None) -> Iterator[tuple[int, int]]:
+def spans(text: str, start: int, end: int, openers: dict[str, float] | None, learned: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
     """The chosen spans of a block, not yet trimmed."""
-    found, last = candidates(text, start, end, openers)
+    found, last = candidates(text, start, end, openers, learned)
+    found = [f for f in found if f[1] > UNLIKELY]
     if not found:
-        yield start, end
-        return
-    quiet = last == (0, 0, 0) and all(f[2] == (0, 0, 0) for f in found)
-    if quiet:  # no open quotation anywhere: every choice stands for itself
-        at = start
-        for stop, score, _ in found:
-            if score > 0 and stop - at > 1:
-                yield at, stop
-                at = stop
-        yield at, end
-        return
+        return [(start, end)]
+    usual = usual_length(text, start, end)
     ends = [(start, 0.0, (0, 0, 0)), *found, (end, 0.0, last)]
-    best = [0.0] + [-math.inf] * (len(ends) - 1)
-    back = [0] * len(ends)
+    best = [0.0]
+    back = [0]
+    far: dict[tuple[int, int, int], int] = {}  # the best beginning of each state at LONGEST or more before
+    top = None  # and of all states
+    reached = 0
+    beyond = length_score(LONGEST, usual)
     for j in range(1, len(ends)):
         stop, score, state = ends[j]
-        if score <= UNLIKELY and j < len(ends) - 1:
-            continue
-        for i in range(j - 1, -1, -1):
-            if best[i] == -math.inf:
-                continue
-            value = best[i] + score - (UNBALANCED if ends[i][2] != state else 0.0) - (1.0 if stop - ends[i][0] < 2 else 0.0)
-            if value > best[j]:
-                best[j], back[j] = value, i
+        while stop - ends[reached][0] >= LONGEST and reached < j:
+            own = ends[reached][2]
+            if own not in far or best[reached] > best[far[own]]:
+                far[own] = reached
+            if top is None or best[reached] > best[top]:
+                top = reached
+            reached += 1
+        value, source = -math.inf, 0
+        if top is not None:
+            value, source = best[top] + beyond - (UNBALANCED if ends[top][2] != state else 0.0), top
+            if state in far and best[far[state]] + beyond > value:
+                value, source = best[far[state]] + beyond, far[state]
+        for i in range(reached, j):
+            own = best[i] + length_score(stop - ends[i][0], usual) - (UNBALANCED if ends[i][2] != state else 0.0)
+            if own > value:
+                value, source = own, i
+        best.append(value + score)
+        back.append(source)
     chosen = []
     j = len(ends) - 1
     while j:
         chosen.append((ends[back[j]][0], ends[j][0]))
         j = back[j]
-    yield from reversed(chosen)
+    return chosen[::-1]
 
 
-def units(text: str | None, openers: dict[str, float] | None = None) -> list[tuple[int, int]]:
+def units(text: str | None, openers: dict[str, float] | None = None, learned: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
     """(start, end) of the sentence units of a text."""
     if not text or text.isspace():
         return []
     masked, found = blocks(text)
     out = []
     for start, end, heading in found:
-        for a, b in ((start, end),) if heading else spans(masked, start, end, openers):
+        for a, b in ((start, end),) if heading else spans(masked, start, end, openers, learned):
             while a < b and masked[a].isspace():
                 a += 1
             while b > a and masked[b - 1].isspace():
@@ -377,36 +425,77 @@ def units(text: str | None, openers: dict[str, float] | None = None) -> list[tup
 
 
 def fit_openers(documents: DataFrame) -> dict[str, float]:
-    """Log-odds of words to open a sentence, from all texts in scripts that divide sentences by spaces."""
+    """Log-odds of beginnings to open a sentence, from all texts in scripts that divide sentences by spaces."""
     joined = F.regexp_replace("text", r"(?<!\n)\n(?!\s*(\n|[-*•#>=`]|\d+[.)]))", " ")
     line = F.explode(F.split(joined, r"\n")).alias("line")
     rows = documents.where(F.col("text").rlike(f"[{SPACED_SCRIPT}]")).select(line).where(F.col("line").rlike(f"[{SPACED_SCRIPT}]"))
     chunks = F.split(F.regexp_replace("line", r"^\s*([-*•]|\d+[.)]|#+)?\s+|^\s+", ""), r"\s+")
     parts = rows.select(F.posexplode(chunks).alias("n", "chunk")).where("chunk <> ''")
-    key = (
-        F.when(F.col("chunk").rlike(f"^[{SPACED_SCRIPT}]"), F.substring("chunk", 1, PREFIX))
-        .when(F.col("chunk").rlike(r"^\p{Nd}"), "0")
-        .when(F.col("chunk").rlike(r"^\p{L}"), "a")
-        .otherwise(".")
+    letters = F.array_distinct(F.array(*[F.substring("chunk", 1, n) for n in PREFIXES]))
+    keys = F.when(F.col("chunk").rlike(f"^[{SPACED_SCRIPT}]"), letters).otherwise(
+        F.array(F.when(F.col("chunk").rlike(r"^\p{Nd}"), "0").when(F.col("chunk").rlike(r"^\p{L}"), "a").otherwise("."))
     )
-    counts = parts.groupBy(key.alias("key")).agg(
+    counts = parts.select("n", F.explode(keys).alias("key")).groupBy("key").agg(
         F.count_if(F.col("n") == 0).alias("first"), F.count_if(F.col("n") > 0).alias("inner")
     )
-    rows = counts.orderBy(F.desc(F.col("first") + F.col("inner")), "key").limit(MODEL_SIZE).collect()
-    firsts, inners = sum(r["first"] for r in rows) or 1, sum(r["inner"] for r in rows) or 1
-    odds = lambda r: math.log((r["first"] + 0.2) / firsts) - math.log((r["inner"] + 0.2) / inners)
-    return {r["key"]: max(-3.0, min(3.0, odds(r))) for r in rows}
+    counts = cut(counts)
+    short = F.when(F.col("key").rlike(f"^[{SPACED_SCRIPT}]"), F.length("key") <= PREFIXES[0]).otherwise(True)
+    total = counts.where(short).agg(F.sum("first").alias("first"), F.sum("inner").alias("inner")).first()
+    firsts, inners = total["first"] or 1, total["inner"] or 1
+    rows = counts.where((F.col("first") + F.col("inner")) > RAREST * (firsts + inners)).collect()  # 1 / RAREST a length
+    base = firsts / (firsts + inners)
+    share: dict[str, float] = {}
+    for r in sorted(rows, key=lambda r: len(r["key"])):
+        key = r["key"]
+        shorter = next((share[key[:n]] for n in reversed(PREFIXES) if n < len(key) and key[:n] in share), base)
+        share[key] = (r["first"] + SMOOTHING * shorter) / (r["first"] + r["inner"] + SMOOTHING)
+    logit = lambda p: math.log(p / (1 - p))
+    safe = lambda p: min(max(p, 1e-9), 1 - 1e-9)
+    return {k: max(-3.0, min(3.0, logit(safe(p)) - logit(safe(base)))) for k, p in share.items()}
+
+
+def fit_abbreviations(documents: DataFrame) -> frozenset[str]:
+    """Words of up to six letters that are abbreviations, by the counts over all texts.
+
+    They have a full stop nearly always, and end paragraphs at most a tenth as often as full stops do in
+    general, where chance would have them do so LEAST_STOPS times or more.
+    """
+    # Full stops within quotation marks end no paragraph. Pieces between blanks are counted as they are;
+    # only the different ones are then looked into.
+    pieces = F.filter(F.split("text", "[\"“”„«»「」『』]"), lambda x, i: i % 2 == 0)
+    words = documents.where("text is not null").select(F.explode(F.split(F.concat(F.array_join(pieces, " "), F.lit("\n\n")), " ")).alias("w"))
+    types = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("w").rlike(r"\p{L}"))
+    own = F.explode(F.split(F.regexp_replace("w", r"\.[ \t]*\n\s*(\n|$)", ".¶\n"), r"[\s(\[{'‘]+")).alias("w")
+    word = F.regexp_extract("w", r"^(\p{L}{1,6})(?:\.¶?|[,;:!?)\]}]*)$", 1)
+    stop, final = F.col("w").contains("."), F.col("w").endswith("¶")
+    counts = types.select(own, "n").groupBy(F.lower(word).alias("word")).agg(
+        F.sum("n").alias("n"), F.sum(F.when(stop, F.col("n")).otherwise(0)).alias("stops"), F.sum(F.when(final, F.col("n")).otherwise(0)).alias("final")
+    )
+    counts = cut(counts.where("word <> '' and stops > 0"))
+    total = counts.agg(F.sum("stops").alias("stops"), F.sum("final").alias("final")).first()
+    stops, finals = total["stops"] or 0, total["final"] or 0
+    if not finals:
+        return frozenset()
+    share = finals / stops
+    kept = counts.where(
+        (F.col("stops") >= 0.95 * F.col("n")) & (F.col("stops") * share >= LEAST_STOPS) & (F.col("final") <= 0.1 * share * F.col("stops")) & (F.col("stops") > RAREST * stops)
+    )
+    return frozenset(r["word"] for r in kept.select("word").collect())  # 1 / RAREST at most
+
+
+def fit(documents: DataFrame) -> tuple[dict[str, float], frozenset[str]]:
+    return fit_openers(documents), fit_abbreviations(documents)
 
 
 def sentence_units(documents: DataFrame) -> DataFrame:
     """doc_id, start_char, end_char of the sentence units of every document (doc_id, text)."""
-    openers = documents.sparkSession.sparkContext.broadcast(fit_openers(documents))
+    model = documents.sparkSession.sparkContext.broadcast(fit(documents))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, firsts, lasts = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = units(text, openers.value)
+                found = units(text, *model.value)
                 ids += [doc] * len(found)
                 firsts += [a for a, _ in found]
                 lasts += [b for _, b in found]

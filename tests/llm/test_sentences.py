@@ -1,3 +1,6 @@
+import itertools
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -52,3 +55,59 @@ def test_openers_are_learned_from_all_texts(spark):
     assert len(own) == 10 and all(u.startswith(opener) for u in own)
     assert sum(r.doc_id == 2 for r in rows) == 2 and not any(r.doc_id in (3, 4) for r in rows)
     assert sentences.sentence_units(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", [
+    "Il sig. Rossi arriva domani.", "We gebruiken bijv. Python voor de scan.", "Mamy np. Pythona w kodzie.", "We asked Pvt. Ost to run it.",
+    "The Bar Assn. Board met today.", "Le Pr. Durand relit le code.", "A igreja de Sta. Maria fica perto.",
+])
+def test_abbreviations_of_further_languages(text):
+    assert sentences.units(text, {}) == [(0, len(text))]
+
+
+def test_the_same_letters_may_end_a_sentence():
+    text = "It is in the PR. We use NP. The end."
+    assert [text[a:b] for a, b in sentences.units(text, {})] == ["It is in the PR.", "We use NP.", "The end."]
+
+
+def test_linear_behind_an_open_quotation():
+    for n in (2_000, 20_000):
+        text = 'It said "so. ' + "One more is here. " * n
+        began = time.perf_counter()
+        assert len(sentences.units(text, {})) == n + 1
+        assert time.perf_counter() - began < n / 2_000
+
+
+def test_abbreviations_are_learned_from_all_texts(spark):
+    text = "\n\n".join(f"We saw qrx. Ost near the gate. There the gate and the {w} hold the {w}. Then it ended." for w in ("map", "scan", "hook")) 
+    docs = spark.createDataFrame([(k, text) for k in range(60)] + [(99, None)], "doc_id long, text string")
+    learned = sentences.fit_abbreviations(docs)
+    assert "qrx" in learned and not {"gate", "map", "ended"} & learned
+    assert len([r for r in sentences.sentence_units(docs).collect() if r.doc_id == 1]) == 9
+    assert sentences.fit_abbreviations(docs.limit(0)) == frozenset()
+
+
+def best_by_all_choices(text, start, end):
+    """The programme's own score, over every choice of boundaries."""
+    found, last = sentences.candidates(text, start, end, {})
+    found = [f for f in found if f[1] > sentences.UNLIKELY]
+    usual = sentences.usual_length(text, start, end)
+    best = None
+    for chosen in itertools.product((False, True), repeat=len(found)):
+        ends = [(start, 0.0, (0, 0, 0)), *[f for f, c in zip(found, chosen) if c], (end, 0.0, last)]
+        total = sum(b[1] + sentences.length_score(b[0] - a[0], usual) - (sentences.UNBALANCED if a[2] != b[2] else 0) for a, b in zip(ends, ends[1:]))
+        best = total if best is None else max(best, total)
+    return best
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["It ended. ", '"', "“", "” ", "(see p. 3) ", "word " * 90, "Yes! ", "no? ", "etc. "]), min_size=1, max_size=8))
+def test_chosen_spans_have_the_best_score(parts):
+    text = "".join(parts).strip()
+    found, last = sentences.candidates(text, 0, len(text), {})
+    state = {0: (0, 0, 0), **{f[0]: f[2] for f in found}, len(text): last}
+    score = {f[0]: f[1] for f in found}
+    usual = sentences.usual_length(text, 0, len(text))
+    got = sentences.spans(text, 0, len(text), {})
+    total = sum(score.get(b, 0.0) * (b < len(text)) + sentences.length_score(b - a, usual) - (sentences.UNBALANCED if state[a] != state[b] else 0) for a, b in got)
+    assert total == pytest.approx(best_by_all_choices(text, 0, len(text)))
