@@ -48,6 +48,17 @@ def test_larger_documents_are_likelier(spark):
     assert n[100] > 4 * n[10]
 
 
+def test_large_documents_are_certain_and_the_rest_is_solved_again(spark):
+    c = counts(spark, {"a": [500, 300] + [1 + k % 3 for k in range(600)]})
+    t = spark.createDataFrame([("m", "a", 1.0, 1)], TARGETS)
+    row = mixing.certain_sizes(c, mixing.quotas(c, t, 900)).first()
+    small = [1 + k % 3 for k in range(600)]
+    assert (row.certain, row.room, row.squares) == (300, 100.0, float(sum(x * x for x in small)))
+    for seed in range(3):
+        used, got = run(spark, c, [("m", "a", 1.0, 1)], 900, seed)
+        assert {500, 300} <= {r.n_tokens for r in used.collect()} and abs(got["m", "a"].used_tokens - 900) <= 3
+
+
 def test_empty_tables_nulls_and_ties(spark):
     assert run(spark, counts(spark, {}), [("m", "a", 0.5, 1)])[1]["m", "a"].used_tokens == 0
     used, got = run(spark, counts(spark, {"a": [5] * 8}), [("m", "a", None, None), ("m", None, 0.5, 1), ("n", "a", 0.5, 1), ("n", "a", 0.5, 1)])
