@@ -79,8 +79,32 @@ def test_no_links(spark):
     assert found(spark, []) == {}
 
 
+def small_blocks(monkeypatch, merge):
+    for name, value in (("BLOCK_ROWS", 8), ("PAGE_IDS", 16), ("WIDER", 4), ("MERGE_ROWS", merge)):
+        monkeypatch.setattr(hierarchy, name, value)
+
+
 def test_long_chain_over_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(hierarchy, "LOCAL_LINKS", 3)
+    small_blocks(monkeypatch, 10)
     chain = [(k, k + 1, None, None) for k in range(60)] + [(100 + k, 101 + k, None, None) for k in range(12)] + [(112, 100, None, None)]
     random.Random(1).shuffle(chain)
     assert found(spark, chain) == brute(chain)
+
+
+def test_levels_and_halving_give_the_same(spark, monkeypatch):
+    rng = random.Random(8)
+    near = [(max(0, c - rng.randrange(1, 9)), c, None, None) for c in range(1, 150)] + [(130, 3, 0, ""), (1, 0, 0, "")]
+    far = [(rng.randrange(150), c, None, None) for c in range(150)]
+    for merge in (0, 40):  # 0: paths are halved as soon as a level doesn't shrink
+        small_blocks(monkeypatch, merge)
+        for links in (near, far):
+            assert found(spark, links) == brute(links)
+
+
+def test_deep_chain(spark, monkeypatch):
+    n = 20_000
+    links = spark.range(1, n).selectExpr("id - 1 AS parent", "id AS child")
+    monkeypatch.setattr(hierarchy, "OUT_CHARS", 500_000)
+    rows = hierarchy.hierarchies(links).selectExpr("node", "depth", "n_descendants", "length(path) AS size").toPandas().set_index("node")
+    assert (rows["depth"] == rows.index).all() and (rows["n_descendants"] == n - 1 - rows.index).all()
+    assert rows["size"][n - 1] == len("/".join(map(str, range(n))))
