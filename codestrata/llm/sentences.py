@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -349,18 +350,27 @@ def opening_score(openers: dict[str, float], chunk: str) -> float:
 
 
 def usual_length(text: str, start: int, end: int) -> float:
+    if text.isascii():
+        return USUAL["spaced"]
     probe = text[start:end]
     if _SPACED.search(probe):
         return USUAL["unspaced"]
     return USUAL["cjk"] if len(_CJK.findall(probe)) * 2 > len(probe) else USUAL["spaced"]
 
 
+@lru_cache(maxsize=8)
+def length_scores(usual: float) -> list[float]:
+    """length_score of 0 to LONGEST characters."""
+    out = [NEVER, NEVER]
+    for n in range(2, LONGEST + 1):
+        far = math.log(n / usual)
+        out.append(max(-0.3, 0.3 - 0.15 * far * far))
+    return out
+
+
 def length_score(n: int, usual: float) -> float:
     """Up to 0.3 for a usual length and down to -0.3 for a very short or long one; none has less than two characters."""
-    if n < 2:
-        return NEVER
-    far = math.log(min(n, LONGEST) / usual)
-    return max(-0.3, 0.3 - 0.15 * far * far)
+    return length_scores(usual)[min(n, LONGEST)]
 
 
 def spans(text: str, start: int, end: int, openers: dict[str, float] | None, learned: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
@@ -376,7 +386,8 @@ def spans(text: str, start: int, end: int, openers: dict[str, float] | None, lea
     far: dict[tuple[int, int, int], int] = {}  # the best beginning of each state at LONGEST or more before
     top = None  # and of all states
     reached = 0
-    beyond = length_score(LONGEST, usual)
+    worth = length_scores(usual)
+    beyond = worth[LONGEST]
     for j in range(1, len(ends)):
         stop, score, state = ends[j]
         while stop - ends[reached][0] >= LONGEST and reached < j:
@@ -392,7 +403,7 @@ def spans(text: str, start: int, end: int, openers: dict[str, float] | None, lea
             if state in far and best[far[state]] + beyond > value:
                 value, source = best[far[state]] + beyond, far[state]
         for i in range(reached, j):
-            own = best[i] + length_score(stop - ends[i][0], usual) - (UNBALANCED if ends[i][2] != state else 0.0)
+            own = best[i] + worth[stop - ends[i][0]] - (UNBALANCED if ends[i][2] != state else 0.0)
             if own > value:
                 value, source = own, i
         best.append(value + score)
