@@ -1,9 +1,13 @@
 """References to records that do not exist.
 
-Method: keys become integers, every (key page, period) of the references becomes a bitmap, the
-parents become bitmaps of the keys that were there during the whole period, and reference AND-NOT
-parent leaves the bits that may be orphans. Only those are decoded and held against the exact
-intervals of the parents.
+Method: keys are integers, or become them by a dictionary (``encoded``); the references become a bitmap
+for each key range and period, the parents bitmaps of the keys that were there during whole runs of
+periods, and reference AND-NOT parent leaves the bits that may be orphans. Only those are decoded and
+held against the exact intervals of the parents.
+
+A bitmap is compressed by keeping its 64-bit words that aren't empty, one a row: a range of keys that
+nothing refers to costs nothing, and sparse keys cost a word each. Words are built by the partial
+aggregation of a hash aggregate, so that a hot key is one bit a task and period before any exchange.
 
 Defined results
 ---------------
@@ -16,15 +20,11 @@ Defined results
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codestrata.session import cut
 
-PAGE_BITS = 32768  # bits of one page of the built-in bitmap aggregate
 OPEN_PERIOD = 1_000_000  # after every period
 
 
@@ -47,93 +47,75 @@ def encode_keys(keys: DataFrame, column: str) -> DataFrame:
     return cut(named.withColumn("code", F.monotonically_increasing_id() + 1))
 
 
-def _and_not(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """The bits of one page's references that no parent covers for the whole period."""
-    pos = right["pos"].to_numpy(np.int64)
-    first = right["first_full"].to_numpy(np.int64)
-    last = right["last_full"].to_numpy(np.int64)
-    out_period, out_pos = [], []
-    for period, raw in zip(left["period"].to_numpy(np.int64), left["bits"]):
-        refs = np.frombuffer(raw, dtype=np.uint8)
-        alive = np.zeros(PAGE_BITS, dtype=np.uint8)
-        alive[pos[(first <= period) & (period <= last)]] = 1
-        rest = refs & ~np.packbits(alive, bitorder="little")[: len(refs)]
-        if rest.any():
-            bits = np.flatnonzero(np.unpackbits(rest, bitorder="little"))
-            out_pos.append(bits)
-            out_period.append(np.full(len(bits), period))
-    page = left["page"].iloc[0] if len(left) else 0
-    found = np.concatenate(out_pos) if out_pos else np.array([], dtype=np.int64)
-    return pd.DataFrame(
-        {
-            "page": np.full(len(found), page, dtype=np.int64),
-            "period": (np.concatenate(out_period) if out_period else found).astype(np.int32),
-            "pos": found.astype(np.int64),
-        }
-    )
+def encoded(refs: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """refs and parents with integers for keys; integers are their own dictionary.
+
+    Keys of another type get the codes of ``encode_keys``, and keep their value as ``key_value``.
+    """
+    if dict(refs.dtypes)["key"] in ("tinyint", "smallint", "int", "bigint"):
+        return refs.withColumn("key", F.col("key").cast("long")), parents.withColumn("key", F.col("key").cast("long"))
+    codes = encode_keys(refs.select("key").unionByName(parents.select("key")), "key")
+    put = lambda df: df.join(codes, "key").withColumn("key_value", F.col("key")).withColumn("key", F.col("code")).drop("code")
+    return put(refs), put(parents)
+
+
+def _bit(key: Column) -> Column:
+    return F.expr("shiftleft(1L, cast(key & 63 AS int))")
 
 
 def surviving_keys(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """(key, period) of the references that no parent covers for the whole period.
 
-    refs: key long, at timestamp. parents: key long, start timestamp, stop timestamp. A page holds
-    at most 32768 keys, so both sides of the co-group are bounded, however often a key occurs.
+    refs: key long, at timestamp. parents: key long, start timestamp, stop timestamp. Parents are put
+    together by word and run of periods first, so that versions of a key don't add up.
     """
-    ref_bits = (
-        refs.select("key", period_number(F.col("at")).alias("period"))
-        .distinct()  # combined before the exchange: a hot key is one row per task and period
-        .select(F.bitmap_bucket_number("key").alias("page"), "period", F.bitmap_bit_position("key").alias("pos"))
-        .groupBy("page", "period")
-        .agg(F.bitmap_construct_agg("pos").alias("bits"))
-    )
+    word = F.shiftright("key", 6).alias("word")
+    ref_bits = refs.select(word, period_number(F.col("at")).alias("period"), _bit(F.col("key")).alias("bit")).groupBy("word", "period").agg(F.bit_or("bit").alias("bits"))
     # The periods that lie wholly within an interval: the start's own only if it begins with it.
     starts = period_number(F.col("start"))
     whole = F.date_trunc("month", F.col("start")) == F.col("start")
     covered = (
         parents.select(
-            F.bitmap_bucket_number("key").alias("page"),
-            F.bitmap_bit_position("key").alias("pos"),
+            word,
+            _bit(F.col("key")).alias("bit"),
             F.when(F.col("start").isNull(), -1).when(whole, starts).otherwise(starts + 1).alias("first_full"),
             F.coalesce(period_number(F.col("stop")) - 1, F.lit(OPEN_PERIOD)).alias("last_full"),
         )
         .where("first_full <= last_full")
+        .groupBy("word", "first_full", "last_full")
+        .agg(F.bit_or("bit").alias("there"))
     )
-    schema = T.StructType(
-        [T.StructField("page", T.LongType()), T.StructField("period", T.IntegerType()), T.StructField("pos", T.LongType())]
-    )
-    rest = ref_bits.groupBy("page").cogroup(covered.groupBy("page")).applyInPandas(_and_not, schema)
-    # Positions count upwards from a page's first key, and downwards for keys up to zero.
-    key = F.when(F.col("page") >= 1, (F.col("page") - 1) * PAGE_BITS + 1 + F.col("pos")).otherwise(
-        F.col("page") * PAGE_BITS - F.col("pos")
+    alive = F.bit_or(F.when(F.col("period").between(F.col("first_full"), F.col("last_full")), F.col("there")).otherwise(F.lit(0).cast("long")))
+    rest = (
+        ref_bits.join(covered, "word", "left")
+        .groupBy("word", "period")
+        .agg(F.first("bits").alias("bits"), alive.alias("alive"))
+        .select("word", "period", F.expr("bits & ~coalesce(alive, 0L)").alias("left"))
+        .where("left <> 0")
     )
-    return rest.select(key.alias("key"), "period")
+    places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit(F.col("left"), k) == 1)
+    return rest.select("period", "word", F.explode(places).alias("place")).select((F.col("word") * 64 + F.col("place")).alias("key"), "period")
 
 
 def find_orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """ref_id, endpoint, key, at, reason of every reference without a parent at its time.
 
-    refs: ref_id, endpoint, key long, at timestamp. parents: key long, start, stop timestamps.
+    refs: ref_id, endpoint, key, at timestamp. parents: key, start, stop timestamps.
     reason: ``missing`` (no parent row), ``deleted`` (one began before), else ``late``.
     """
     refs = refs.where(F.col("key").isNotNull() & F.col("at").isNotNull())
     parents = parents.where(F.col("key").isNotNull())
+    back = "key_value" if dict(refs.dtypes)["key"] not in ("tinyint", "smallint", "int", "bigint") else "key"
+    refs, parents = encoded(refs, parents)
     suspects = surviving_keys(refs, parents)
-    # Few intervals a key; whole repeated rows fall together in the set.
-    intervals = parents.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    checked = suspects.join(intervals, "key", "left")
-    rows = refs.withColumn("period", period_number(F.col("at"))).join(checked, ["key", "period"])
-    begun = lambda s, at: s["start"].isNull() | (s["start"] <= at)
-    alive = F.exists("spans", lambda s: begun(s, F.col("at")) & (s["stop"].isNull() | (s["stop"] > F.col("at"))))
-    reason = (
-        F.when(F.col("spans").isNull(), "missing")
-        .when(F.exists("spans", lambda s: begun(s, F.col("at"))), "deleted")
-        .otherwise("late")
-    )
-    return (
-        rows.where(F.col("spans").isNull() | ~alive)
-        .select("ref_id", "endpoint", "key", "at", reason.alias("reason"))
-        .distinct()
-    )
+    doubtful = refs.withColumn("period", period_number(F.col("at"))).join(suspects, ["key", "period"])
+    begun = lambda at: F.col("start").isNull() | (F.col("start") <= at)
+    spans = parents.select(F.col("key").alias("p_key"), "start", "stop")
+    alive = (F.col("key") == F.col("p_key")) & begun(F.col("at")) & (F.col("stop").isNull() | (F.col("stop") > F.col("at")))
+    lost = doubtful.join(spans, alive, "left_anti")
+    first = parents.groupBy("key").agg(F.min("start").alias("first_at"), F.bool_or(F.col("start").isNull()).alias("always"))
+    reason = F.when(F.col("always").isNull(), "missing").when(F.col("always") | (F.col("first_at") <= F.col("at")), "deleted").otherwise("late")
+    return lost.join(first, "key", "left").select("ref_id", "endpoint", F.col(back).alias("key"), "at", reason.alias("reason")).distinct()
 
 
 def dependency_references(dependencies: DataFrame) -> DataFrame:
@@ -161,4 +143,4 @@ def orphan_counts(orphans: DataFrame, table_name: str) -> DataFrame:
     )
 
 
-__all__ = ["dependency_orphans", "dependency_references", "encode_keys", "find_orphans", "orphan_counts", "surviving_keys"]
+__all__ = ["dependency_orphans", "dependency_references", "encode_keys", "encoded", "find_orphans", "orphan_counts", "surviving_keys"]

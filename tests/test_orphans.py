@@ -83,9 +83,25 @@ def test_dictionary_of_text_keys(spark):
     assert sorted(codes["k"]) == ["a", "b", "c"] and codes["code"].is_unique
 
 
-@settings(max_examples=20, deadline=None)
-@given(st.integers(-200_000, 200_000))
-def test_page_and_position_give_the_key_back(key):
-    page, pos = (1 + (key - 1) // 32768, (key - 1) % 32768) if key > 0 else (-(-key // 32768), -key % 32768)
-    back = (page - 1) * 32768 + 1 + pos if page >= 1 else page * 32768 - pos
-    assert back == key
+def test_text_keys_and_sparse_keys(spark):
+    deps, files = random_case(4)
+    want = brute(deps, files)
+    name = lambda k: None if k is None else f"file-{k}"
+    refs = spark.createDataFrame([(d[0], e, name(k), d[4]) for d in deps for e, k in (("source", d[2]), ("target", d[3]))], "ref_id long, endpoint string, key string, at timestamp")
+    parents = spark.createDataFrame([(name(f[0]), f[1], f[2]) for f in files], "key string, start timestamp, stop timestamp")
+    rows = orphans.find_orphans(refs, parents).collect()
+    assert {(r.ref_id, r.endpoint, r.reason) for r in rows} == want and all(r.key.startswith("file-") for r in rows)
+    far = lambda k: None if k is None else k * (1 << 44) + 7
+    assert found(spark, [(d[0], None, far(d[2]), far(d[3]), *d[4:]) for d in deps], [(far(f[0]), *f[1:]) for f in files]) == want
+
+
+def test_many_versions_of_one_parent(spark):
+    files = [(1, T0 + timedelta(days=k), T0 + timedelta(days=k, hours=12), None, None, None) for k in range(200)]
+    deps = [(k, None, 1, None, T0 + timedelta(days=k, hours=6 if k % 2 else 18), None, None, None) for k in range(200)]
+    assert found(spark, deps, files) == {(k, "source", "deleted") for k in range(0, 200, 2)}
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.integers(-(1 << 62), 1 << 62))
+def test_word_and_bit_give_the_key_back(key):
+    assert (key >> 6) * 64 + (key & 63) == key
