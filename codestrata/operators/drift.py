@@ -1,8 +1,10 @@
 """Schemas that drift between payloads: one table of all of them, and every change.
 
 Method: each payload becomes a map of paths to raw types and values; statistics by path and type
-give the column types; typed columns are projected with a report of failed casts; and windows over
-(name, path) find where a path begins, ends or changes its type.
+give the column types, and which paths of a name drift at all; typed columns are projected with a report
+of failed casts. Only the fields of drifting paths are put in sequence, where windows over stretches of
+BLOCK_SEQ payloads of a (name, path) find where it begins, ends or changes its type; long values travel
+as digests.
 
 Defined results
 ---------------
@@ -27,6 +29,9 @@ from pyspark.sql import functions as F
 
 from codestrata.session import cut
 
+BLOCK_SEQ = 4096  # payloads of a name to one window; what crosses a border is carried over
+SHORT_VALUE = 22  # characters up to which a value travels as it is
+MOST_DRIFTING = 100_000  # drifting (name, path) up to which they go to every task; beyond it Spark chooses
 FIELDS = "array<struct<path:string,kind:string,value:string>>"
 INLINE, PARTED = "inline_json", "partitioned_json_v1"
 
@@ -124,24 +129,27 @@ def payload_maps(payloads: DataFrame, parts: DataFrame) -> DataFrame:
 def numbered(maps: DataFrame) -> DataFrame:
     """Adds seq, 1, 2, ... by time within a name, and last_seq.
 
-    Counted within (name, month) and carried over the months, so that a name with a large share of
-    all rows isn't numbered by one task.
+    Counted within (name, hour) and carried over the hours and the days, so that a name with a large share
+    of all rows isn't numbered by one task. maps: name, generation_id, at and what else is to be kept.
     """
-    rows = maps.withColumn("month", F.date_trunc("month", "at"))
-    counts = rows.groupBy("name", "month").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("name").orderBy(F.col("month").asc_nulls_first())
-    before = counts.select(
-        "name", "month",
-        (F.sum("n").over(order) - F.col("n")).alias("before"),
-        F.sum("n").over(Window.partitionBy("name")).alias("last_seq"),
+    rows = maps.withColumn("day", F.date_trunc("day", "at")).withColumn("hour", F.date_trunc("hour", "at"))
+    hours = rows.groupBy("name", "day", "hour").agg(F.count(F.lit(1)).alias("n"))
+    days = hours.groupBy("name", "day").agg(F.sum("n").alias("n_day"))
+    by_day, by_hour = Window.partitionBy("name").orderBy(F.col("day").asc_nulls_first()), Window.partitionBy("name", "day").orderBy("hour")
+    days = days.select(
+        F.col("name").alias("d_name"), F.col("day").alias("d_day"), (F.sum("n_day").over(by_day) - F.col("n_day")).alias("before_day"),
+        F.sum("n_day").over(Window.partitionBy("name")).alias("last_seq"),
     )
-    inner = Window.partitionBy("name", "month").orderBy("at", "generation_id")
+    hours = hours.withColumn("before_hour", F.sum("n").over(by_hour) - F.col("n"))
+    before = hours.join(days, F.col("name").eqNullSafe(F.col("d_name")) & F.col("day").eqNullSafe(F.col("d_day"))).select(
+        F.col("name").alias("h_name"), F.col("hour").alias("h_hour"), (F.col("before_day") + F.col("before_hour")).alias("before"), "last_seq"
+    )
+    inner = Window.partitionBy("name", "hour").orderBy("at", "generation_id")
     return (
         rows.withColumn("rn", F.row_number().over(inner))
-        .join(before.withColumnRenamed("name", "name_b").withColumnRenamed("month", "month_b"),
-              F.col("name").eqNullSafe(F.col("name_b")) & F.col("month").eqNullSafe(F.col("month_b")))
+        .join(before, F.col("name").eqNullSafe(F.col("h_name")) & F.col("hour").eqNullSafe(F.col("h_hour")))
         .withColumn("seq", F.col("rn") + F.col("before"))
-        .drop("month", "month_b", "name_b", "rn", "before")
+        .drop("day", "hour", "h_name", "h_hour", "rn", "before")
     )
 
 
@@ -154,27 +162,70 @@ def path_statistics(maps: DataFrame) -> DataFrame:
     )
 
 
+def drifting_paths(maps: DataFrame) -> DataFrame:
+    """name, path of those that some payload of the name lacks, or that have had two types."""
+    totals = maps.groupBy(F.col("name").alias("t_name")).agg(F.count(F.lit(1)).alias("n_all"))
+    stats = path_statistics(maps).groupBy("name", "path").agg(F.sum("n_payloads").alias("n"), F.count("kind").alias("n_kinds"))
+    return stats.join(totals, F.col("name").eqNullSafe(F.col("t_name"))).where((F.col("n") < F.col("n_all")) | (F.col("n_kinds") > 1)).select("name", "path")
+
+
+def _walked(long: DataFrame) -> DataFrame:
+    """long with start (seq, if the field wasn't there before), going (it isn't there after), known (its type before) and held.
+
+    long: name, path, seq, last_seq, kind, value, holder. Each stretch of BLOCK_SEQ payloads is a window of
+    its own and sees the last row of the one before and the first of the one after. A type that was last
+    known further back is carried over by a row a stretch.
+    """
+    block = F.floor(F.col("seq") / BLOCK_SEQ)
+    near = F.array_compact(F.array(
+        block,
+        F.when(F.col("seq") % BLOCK_SEQ == BLOCK_SEQ - 1, block + 1),  # seen from the next stretch
+        F.when((F.col("seq") % BLOCK_SEQ == 0) & (block > 0), block - 1),
+    ))
+    rows = long.withColumn("own", block).withColumn("block", F.explode(near))
+    order = Window.partitionBy("name", "path", "block").orderBy("seq")
+    rows = rows.withColumn("start", F.when(~F.coalesce(F.lag("seq").over(order) == F.col("seq") - 1, F.lit(False)), F.col("seq")))
+    rows = rows.withColumn("going", ~F.coalesce(F.lead("seq").over(order) == F.col("seq") + 1, F.lit(False)))
+    rows = rows.withColumn("held", F.lag("holder").over(order)).withColumn("run", F.last("start", ignorenulls=True).over(order))
+    typed = F.when(F.col("kind").isNotNull(), F.struct("run", "kind"))
+    rows = rows.withColumn("known", F.last(typed, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("known", F.when(F.col("known.run") == F.col("run"), F.col("known.kind")))
+    # What is known at the end of a stretch: a type, that nothing is (a run that began in it), or what was before.
+    ends = rows.where((F.col("own") == F.col("block")) & (F.col("seq") % BLOCK_SEQ == BLOCK_SEQ - 1)).select(
+        "name", "path", "block",
+        F.coalesce(F.col("kind"), F.col("known"), F.when(F.col("run") >= F.col("block") * BLOCK_SEQ, F.lit(""))).alias("at_end"),
+    )
+    blocks = Window.partitionBy("name", "path").orderBy("block")
+    ends = ends.withColumn("gap", F.col("block") - F.row_number().over(blocks))  # stretches that follow each other
+    carried = ends.select(
+        F.col("name").alias("c_name"), F.col("path").alias("c_path"), (F.col("block") + 1).alias("c_block"),
+        F.last("at_end", ignorenulls=True).over(Window.partitionBy("name", "path", "gap").orderBy("block")).alias("carried"),
+    )
+    carried = carried.where("carried <> ''")
+    rows = rows.where(F.col("own") == F.col("block"))
+    early = F.col("known").isNull() & F.col("start").isNull() & (F.col("run") < F.col("own") * BLOCK_SEQ)  # the run comes from before
+    joined = rows.join(
+        carried, F.col("name").eqNullSafe(F.col("c_name")) & (F.col("path") == F.col("c_path")) & (F.col("own") == F.col("c_block")), "left"
+    )
+    return joined.withColumn("known", F.when(early, F.col("carried")).otherwise(F.col("known"))).drop("c_name", "c_path", "c_block", "carried", "own", "block", "run")
+
+
 def changes(maps: DataFrame) -> DataFrame:
     """name, generation_id, change_kind, old_field, new_field of each payload against the one before."""
-    # Read three times below; parsing is the larger part of the work.
-    rows = cut(numbered(cut(maps.where("fields is not null"))))
-    index = rows.select("name", "seq", "generation_id")
-    long = rows.select("name", "seq", "last_seq", F.explode("fields").alias("f")).select(
-        "name", "seq", "last_seq", "f.path", "f.kind", "f.value"
-    )
-    order = Window.partitionBy("name", "path").orderBy("seq")
-    holder = F.col("kind").eqNullSafe("object") & F.col("value").isNull()  # an object with fields inside
-    walk = (
-        long.withColumn("holder", holder)
-        .withColumn("before", F.lag("seq").over(order))
-        .withColumn("after", F.lead("seq").over(order))
-        .withColumn("start", F.when(F.col("before").isNull() | (F.col("before") < F.col("seq") - 1), F.col("seq")))
-        .withColumn("run", F.last("start", ignorenulls=True).over(order))
-        .withColumn("typed", F.when(F.col("kind").isNotNull(), F.struct("run", "kind")))
-        .withColumn("known", F.last("typed", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("held", F.lag("holder").over(order))
+    # Parsing is the larger part of the work; numbered as they lie in the checkpoint.
+    maps = cut(maps.where("fields is not null")).withColumn("row", F.monotonically_increasing_id())
+    index = cut(numbered(maps.select("name", "generation_id", "at", "row")).select("row", "name", "generation_id", "seq", "last_seq"))
+    drifting = cut(drifting_paths(maps))
+    small = F.broadcast if drifting.limit(MOST_DRIFTING + 1).count() <= MOST_DRIFTING else lambda df: df
+    drifting = drifting.select(F.col("name").alias("d_name"), F.col("path").alias("d_path"))
+    digest = F.when(F.length("f.value") > SHORT_VALUE, F.concat(F.lit("#"), F.md5("f.value"))).otherwise(F.col("f.value"))
+    long = maps.select("row", "name", F.explode("fields").alias("f")).select(
+        "row", "name", "f.path", "f.kind", digest.alias("value"),
+        (F.col("f.kind").eqNullSafe("object") & F.col("f.value").isNull()).alias("holder"),  # an object with fields inside
     )
-    turned = (F.col("known.run") == F.col("run")) & (F.col("kind") != F.col("known.kind")) & (F.col("run") < F.col("seq"))
+    long = long.join(small(drifting), F.col("name").eqNullSafe(F.col("d_name")) & (F.col("path") == F.col("d_path")), "left_semi")
+    walk = _walked(long.drop("name").join(index.select("row", "name", "seq", "last_seq"), "row").drop("row"))
+    turned = (F.col("kind") != F.col("known")) & F.col("start").isNull()
     unknown = F.concat(F.lit("\u0000"), F.col("path"))  # no value is equal to an unknown one
     events = F.array_compact(
         F.array(
@@ -184,7 +235,7 @@ def changes(maps: DataFrame) -> DataFrame:
                 F.struct(F.col("seq").alias("at_seq"), F.lit("added").alias("event"), F.coalesce("value", unknown).alias("value")),
             ),
             F.when(
-                (F.col("after").isNull() | (F.col("after") > F.col("seq") + 1)) & (F.col("seq") < F.col("last_seq")) & ~F.col("holder"),
+                F.col("going") & (F.col("seq") < F.col("last_seq")) & ~F.col("holder"),
                 F.struct((F.col("seq") + 1).alias("at_seq"), F.lit("removed").alias("event"), F.coalesce("value", unknown).alias("value")),
             ),
         )
@@ -221,10 +272,9 @@ def changes(maps: DataFrame) -> DataFrame:
     every = paired.unionByName(
         retyped.select("name", "at_seq", F.lit("retyped").alias("change_kind"), F.col("path").alias("old_field"), F.col("path").alias("new_field"))
     )
-    index = index.select(F.col("name").alias("i_name"), F.col("seq").alias("at_seq"), "generation_id")
+    index = index.select(F.col("name").alias("i_name"), F.col("seq").alias("i_seq"), "generation_id")
     return every.join(
-        index.withColumnRenamed("at_seq", "i_seq"),
-        F.col("name").eqNullSafe(F.col("i_name")) & (F.col("at_seq") == F.col("i_seq")),
+        index, F.col("name").eqNullSafe(F.col("i_name")) & (F.col("at_seq") == F.col("i_seq"))
     ).select("name", "generation_id", "change_kind", "old_field", "new_field")
 
 

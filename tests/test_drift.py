@@ -1,4 +1,5 @@
 import json
+import random
 
 from codestrata.operators import drift
 
@@ -64,3 +65,32 @@ def test_typed_table_reports_failed_casts(spark):
     assert t == {"g0": (1.0, False), "g1": (2.0, False), "g2": (None, True), "g3": (3.0, False), "g4": (None, False)}
     wide = {r.generation_id: r.a for r in drift.wide_table(maps, {"a": "number"}).collect()}
     assert wide["g1"] == 2.0 and wide["g2"] is None and wide["g3"] == 3.0
+
+
+def by_hand(values):
+    """Changes of one name by a walk along its payloads, flat fields only."""
+    out, known, last = set(), {}, None
+    kind = lambda v: {bool: "boolean", int: "number", str: "text", list: "list"}.get(type(v))
+    for k, value in enumerate(values):
+        if last is not None:
+            gone, new = sorted(set(last) - set(value)), sorted(set(value) - set(last))
+            for path in list(gone):
+                match = next((n for n in new if value[n] == last[path] and value[n] is not None and kind(value[n]) == kind(last[path])), None)
+                if match:
+                    out.add(("n", f"g{k}", "renamed", path, match))
+                    gone.remove(path)
+                    new.remove(match)
+            out |= {("n", f"g{k}", "removed", p, "") for p in gone} | {("n", f"g{k}", "added", "", p) for p in new}
+            out |= {("n", f"g{k}", "retyped", p, p) for p in value if p in last and kind(value[p]) and known.get(p) not in (None, kind(value[p]))}
+        known = {p: kind(v) or (known.get(p) if last is not None and p in last else None) for p, v in value.items()}
+        last = value
+    return out
+
+
+def test_borders_of_stretches_against_a_walk(spark, monkeypatch):
+    monkeypatch.setattr(drift, "BLOCK_SEQ", 3)
+    rng = random.Random(2)
+    values = [{p: rng.choice([None, None, 7, "x" * 40, [1], True, f"u{k}"]) for p in "abc" if rng.random() < 0.85} for k in range(28)]
+    assert found(spark, rows(*values)) == by_hand(values)
+    held = [{"a": 1}] + [{"a": None}] * 9 + [{"a": "x"}]
+    assert found(spark, rows(*held)) == {("n", "g10", "retyped", "a", "a")}
