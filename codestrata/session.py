@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,14 +28,23 @@ def local_session(cpus: int = 8, app: str = "codestrata", memory: str = "12g") -
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one that the cluster names, else a temporary one (tests)."""
+    """The folder for checkpoints: the one that the cluster names.
+
+    Where none is named, a temporary one that goes with the process, on a local master only: on a cluster
+    each machine would have a folder of its own.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="codestrata-checkpoint-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"name a folder that all machines share in {CHECKPOINT_KEY}")
+        named = tempfile.mkdtemp(prefix="codestrata-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
+    return named
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
