@@ -83,6 +83,18 @@ def identifier_tokens(name: Column) -> Column:
     return F.transform(F.regexp_extract_all(name, F.lit(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+"), F.lit(0)), F.lower)
 
 
+# Letters whose folded form isn't their lower one.
+FOLDED = {"ß": "ss", "ſ": "s", "ς": "σ", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ŉ": "ʼn", "ǰ": "ǰ"}
+
+
+def folded_case(text: Column) -> Column:
+    """For comparisons without case: as lower case, but ``ß`` is ``ss``, ligatures are letters and ``ς`` is ``σ``."""
+    text = F.lower(text)
+    for letter, folded in FOLDED.items():
+        text = F.replace(text, F.lit(letter), F.lit(folded))
+    return text
+
+
 def import_kind_of(specifier: Column) -> Column:
     """relative, alias, scoped, absolute or external, by the form of the specifier."""
     return (

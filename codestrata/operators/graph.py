@@ -96,6 +96,15 @@ def reach_by_hub(edges: DataFrame, origins: DataFrame) -> tuple[DataFrame, DataF
     return up, down, pairs_of(away, up).unionByName(pairs_of(edges, origins.select("node").join(up, "node", "left_anti")))
 
 
+def reach_counts(edges: DataFrame, origins: DataFrame) -> DataFrame:
+    """node, n: how many others each of origins(node) reaches. Those that reach the hub are counted with it."""
+    up, down, rest = reach_by_hub(edges, origins)
+    n_down = F.lit(down.count())
+    own = up.join(down.withColumn("inside", F.lit(1)), "node", "left").select("node", (n_down - F.coalesce("inside", F.lit(0))).alias("n"))
+    others = rest.groupBy(F.col("origin").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    return own.unionByName(others).groupBy("node").agg(F.sum("n").alias("n"))
+
+
 def bounded_closure(edges: DataFrame, origins: DataFrame, max_nodes: int, max_depth: int) -> DataFrame:
     """node, depth, taken, truncated: the closure in order of (depth, node), up to max_nodes."""
     found = reach(edges, origins, max_depth)
@@ -116,6 +125,19 @@ def propagate(marked: DataFrame, edges: DataFrame) -> DataFrame:
     return reach(edges, marked).select("node")
 
 
+def propagate_names(marked: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, name: marked, and each name carried on along the edges of the nodes that have it (fixpoint)."""
+    edges = cut(edges.select("src", "dst").distinct())
+    seen = frontier = cut(marked.select("node", "name").distinct())
+    depth = 0
+    while not frontier.isEmpty():
+        depth += 1
+        step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "name").distinct()
+        frontier = cut(step.join(seen, ["node", "name"], "left_anti"))
+        seen = cut(seen.unionByName(frontier)) if depth % 16 == 0 else seen.unionByName(frontier)
+    return seen
+
+
 def trim(edges: DataFrame, rounds: int = 4) -> DataFrame:
     """Edges between nodes that have edges in and out; what goes can't be on a cycle."""
     for _ in range(rounds):
@@ -125,8 +147,8 @@ def trim(edges: DataFrame, rounds: int = 4) -> DataFrame:
     return edges
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component: strongly connected components of two nodes or more, named by their largest node.
+def components(edges: DataFrame, loops: bool = False) -> DataFrame:
+    """node, component: strongly connected components of two nodes or more, with ``loops`` of one with a self loop, too, named by their largest node.
 
     Colouring: every node takes the largest node that reaches it; a node that keeps its own name is
     the head of a component, which is what reaches the head within its colour.
@@ -170,23 +192,26 @@ def components(edges: DataFrame) -> DataFrame:
                 left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
             )
         )
+    own = edges.where("src = dst" if loops else "false").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
     if out is None:
-        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+        return own
     sizes = out.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return out.join(sizes, "colour").select("node", F.col("colour").alias("component"))
+    found = cut(out.join(sizes, "colour").select("node", F.col("colour").alias("component")))
+    return found.unionByName(own.join(found, "node", "left_anti"))
 
 
 def cycles(edges: DataFrame, max_length: int) -> DataFrame:
     """path array, length: every elementary cycle of up to max_length nodes, from its smallest node.
 
     A path only grows to nodes above its first one, so that each cycle is found once and keeps its
-    direction.
+    direction; links that lie on no cycle are taken away first. The last step is the join that closes.
     """
-    edges = edges.where("src <> dst").distinct()
+    edges = cut(trim(edges.where("src <> dst").distinct()))
+    back = edges.select(F.col("src").alias("last"), F.col("dst").alias("first"))
     paths = edges.where("src < dst").select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
     out = None
     for length in range(2, max_length + 1):
-        closed = paths.join(edges, (F.col("last") == F.col("src")) & (F.col("first") == F.col("dst"))).select("path", F.lit(length).alias("length"))
+        closed = paths.join(back, ["last", "first"]).select("path", F.lit(length).alias("length"))
         out = closed if out is None else out.unionByName(closed)
         if length < max_length:
             paths = paths.join(edges, F.col("last") == F.col("src")).where((F.col("dst") > F.col("first")) & ~F.array_contains("path", F.col("dst")))

@@ -72,15 +72,14 @@ def first_rule(df: DataFrame, rules: Sequence[tuple[str, Column]], otherwise: st
     return F.lit(otherwise) if out is None else out.otherwise(otherwise)
 
 
-def suffix_lookup(wanted: DataFrame, nodes: DataFrame, max_segments: int = 8) -> DataFrame:
+def suffix_lookup(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
     """path, node, status: exact, suffix, ambiguous or unknown.
 
-    wanted: path. nodes: node (a path). The suffixes of the nodes, up to max_segments, form an
-    index; a wanted path with more segments can only match exactly.
+    wanted: path. nodes: node (a path). All suffixes of the nodes form an index, a row for each segment.
     """
     exact = wanted.join(nodes.select(F.col("node").alias("path")).distinct(), "path", "left_semi")
     parts = F.split("node", "/")
-    tails = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(max_segments))), lambda k: F.array_join(F.slice(parts, -k, k), "/"))
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, -k, k), "/"))
     index = nodes.select("node", F.explode(tails).alias("path")).groupBy("path").agg(F.count_distinct("node").alias("n"), F.min("node").alias("node"))
     found = wanted.distinct().join(index, "path", "left").join(exact.distinct().withColumn("_exact", F.lit(True)), "path", "left")
     status = F.when(F.col("_exact"), "exact").when(F.col("n").isNull(), "unknown").when(F.col("n") > 1, "ambiguous").otherwise("suffix")
@@ -130,12 +129,18 @@ def in_all_instances(df: DataFrame, group: str, instance: str, value: str) -> Da
 
 
 def missing_from_largest(df: DataFrame, group: str, instance: str, key: str) -> DataFrame:
-    """group, instance, n_keys, n_missing, completeness against all keys of the group."""
-    one = df.select(group, instance, key).distinct()
-    all_keys = one.groupBy(group).agg(F.count_distinct(key).alias("n_all"))
+    """group, instance, n_keys, n_missing, completeness: what each instance lacks of the keys of the largest one.
+
+    Of equally large ones the first by name. A key that the largest hasn't doesn't count for completeness.
+    """
+    one = df.select(group, instance, key).where(F.col(key).isNotNull()).distinct()
     own = one.groupBy(group, instance).agg(F.count(F.lit(1)).alias("n_keys"))
-    return own.join(all_keys, group).select(
-        group, instance, "n_keys", (F.col("n_all") - F.col("n_keys")).alias("n_missing"), (F.col("n_keys") / F.col("n_all")).alias("completeness")
+    largest = own.groupBy(group).agg(F.min_by(instance, F.struct(-F.col("n_keys"), F.col(instance))).alias("largest"), F.max("n_keys").alias("n_all"))
+    wanted = one.join(largest.select(group, F.col("largest").alias(instance)), [group, instance], "left_semi").select(group, key)
+    shared = one.join(wanted, [group, key], "left_semi").groupBy(group, instance).agg(F.count(F.lit(1)).alias("n_shared"))
+    rows = own.join(shared, [group, instance], "left").fillna(0, ["n_shared"]).join(largest.drop("largest"), group)
+    return rows.select(
+        group, instance, "n_keys", (F.col("n_all") - F.col("n_shared")).alias("n_missing"), (F.col("n_shared") / F.col("n_all")).alias("completeness")
     )
 
 

@@ -10,7 +10,7 @@ import hashlib
 import hmac
 import re
 import warnings
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -78,9 +78,14 @@ def without_comments(text: Column) -> Column:
 
 
 def named_exports(text: Column) -> Column:
-    """Names that a JavaScript or TypeScript text exports, comments left out."""
-    pattern = r"\bexport\s+(?:default\s+)?(?:async\s+)?(?:abstract\s+)?(?:const|let|var|function\*?|class|interface|type|enum)\s+([A-Za-z_$][\w$]*)"
-    return F.array_distinct(F.regexp_extract_all(without_comments(text), F.lit(pattern), F.lit(1)))
+    """Names that a JavaScript or TypeScript text exports: declarations, lists (under the outer name) and namespaces; comments left out."""
+    bare = without_comments(text)
+    pattern = r"\bexport\s+(?:declare\s+)?(?:default\s+)?(?:async\s+)?(?:abstract\s+)?(?:const|let|var|function\*?|class|interface|type|enum|namespace)\s+([A-Za-z_$][\w$]*)"
+    lists = F.regexp_extract_all(bare, F.lit(r"\bexport\s+(?:type\s+)?\{([^{}]*)\}"), F.lit(1))
+    listed = F.transform(F.flatten(F.transform(lists, lambda x: F.split(x, ","))), lambda x: F.regexp_extract(x, r"([A-Za-z_$][\w$]*)\s*$", 1))
+    spaces = F.regexp_extract_all(bare, F.lit(r"\bexport\s+\*\s+as\s+([A-Za-z_$][\w$]*)"), F.lit(1))
+    every = F.concat(F.regexp_extract_all(bare, F.lit(pattern), F.lit(1)), listed, spaces)
+    return F.array_distinct(F.filter(every, lambda x: x != ""))
 
 
 def brace_spans(text: str | None) -> list[tuple[int, int, int]]:
@@ -137,3 +142,18 @@ def declared_symbols(sources: DataFrame) -> DataFrame:
         found = F.regexp_extract_all(body, F.lit(pattern), F.lit(1))
         names = F.when(F.col("language") == language, found) if names is None else names.when(F.col("language") == language, found)
     return sources.select("record_id", "language", F.posexplode(names).alias("ordinal", "name")).select("record_id", "language", "name", "ordinal")
+
+
+def rule_hits(sources: DataFrame, rules: Sequence[tuple[str, str, float, float, str, str]]) -> DataFrame:
+    """record_id, project_key, rule, family, weight, cap, n of the rules that find something in sources(record_id, project_key, text).
+
+    rules: name, family, weight, cap, a pattern that counts and one whose matches don't ("" for none).
+    """
+    found = [
+        F.struct(
+            F.lit(name).alias("rule"), F.lit(family).alias("family"), F.lit(weight).alias("weight"), F.lit(cap).alias("cap"),
+            (F.regexp_count("text", F.lit(p)) - (F.regexp_count("text", F.lit(less)) if less else F.lit(0))).cast("long").alias("n"),
+        )
+        for name, family, weight, cap, p, less in rules
+    ]
+    return sources.select("record_id", "project_key", F.explode(F.array(*found)).alias("h")).where("h.n > 0").select("record_id", "project_key", "h.*")

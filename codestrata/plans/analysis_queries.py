@@ -208,14 +208,15 @@ def dead_export_counts(spark: SparkSession, folder: str) -> DataFrame:
     return dead(spark, folder).groupBy("project_key", "reason", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
-NO_NAME = ("index", "main", "__init__", "mod")  # left out by the SQL only
 _IS_TEST = "contains('/' || rel_path || '/', '/tests/')"
 _STEM = "lower(regexp_replace(regexp_extract(rel_path, '[^/]*$'), '\\.[^.]*$', ''))"
-_TEST = f"""(WITH t AS (SELECT file_id, project_key, {_STEM} AS stem FROM {FILE} WHERE {_IS_TEST}), s AS (SELECT file_id, project_key, {_STEM} AS stem FROM {FILE} WHERE NOT {_IS_TEST}), e AS {EDGE}
-    SELECT test, target, max(direct) AS direct, max(transitive) AS transitive, max(naming) AS naming FROM (
-        SELECT t.file_id AS test, s.file_id AS target, 1 AS direct, 0 AS transitive, 0 AS naming FROM e JOIN t ON t.file_id = e.src JOIN s ON s.file_id = e.dst
-        UNION ALL SELECT t.file_id, s.file_id, 0, 1, 0 FROM e JOIN t ON t.file_id = e.src JOIN e b ON b.src = e.dst JOIN s ON s.file_id = b.dst
-        UNION ALL SELECT t.file_id, s.file_id, 0, 0, 1 FROM t JOIN s ON s.project_key = t.project_key AND s.stem = t.stem WHERE t.stem NOT IN {NO_NAME}) GROUP BY 1, 2)"""
+# Every test's own walk along the imports to their end, and every pair of the same name.
+_TEST = f"""(WITH RECURSIVE t AS (SELECT file_id, project_key, {_STEM} AS stem FROM {FILE} WHERE {_IS_TEST}), s AS (SELECT file_id, project_key, {_STEM} AS stem FROM {FILE} WHERE NOT {_IS_TEST}), e AS {EDGE},
+    walk(test, node) AS (SELECT file_id, file_id FROM t UNION SELECT walk.test, e.dst FROM walk JOIN e ON e.src = walk.node)
+    SELECT test, target, max(direct) AS direct, max(naming) AS naming FROM (
+        SELECT test, s.file_id AS target, 0 AS direct, 0 AS naming FROM walk JOIN s ON s.file_id = walk.node
+        UNION ALL SELECT t.file_id, s.file_id, 1, 0 FROM e JOIN t ON t.file_id = e.src JOIN s ON s.file_id = e.dst
+        UNION ALL SELECT t.file_id, s.file_id, 0, 1 FROM t JOIN s ON s.project_key = t.project_key AND s.stem = t.stem) GROUP BY 1, 2)"""
 
 
 def _tests_and_sources(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -247,7 +248,7 @@ def test_counts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("target", n_tests.alias("n_tests"), confidence.alias("confidence"), "n_direct").where("n_tests > 0")
 
 
-@query(f"""SELECT target, count(*) AS n_tests, max(CASE WHEN direct = 1 AND naming = 1 THEN 1.0 WHEN direct = 1 THEN 1.0 WHEN naming = 1 THEN 0.8 ELSE 0.6 END)::DOUBLE AS confidence, count(*) FILTER (direct = 1) AS n_direct FROM {_TEST} GROUP BY 1""")
+@query(f"""SELECT target, count(*) AS n_tests, max(CASE WHEN direct = 1 THEN 1.0 WHEN naming = 1 THEN 0.8 ELSE 0.6 END)::DOUBLE AS confidence, count(*) FILTER (direct = 1) AS n_direct FROM {_TEST} GROUP BY 1""")
 def test_impact(spark: SparkSession, folder: str) -> DataFrame:
     return test_counts(spark, folder)
 
@@ -380,20 +381,41 @@ def freshness(spark: SparkSession, folder: str) -> DataFrame:
     return s.join(f, ["project_key", "rel_path"], "left").select("project_key", "rel_path", state.alias("state"))
 
 
-@query("""SELECT user_id, count(*) AS n, count(*) FILTER (previous IS NULL OR event_id > previous) AS n_in_order, bool_and(previous IS NULL OR event_id > previous) AS intact FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events) GROUP BY 1""")
+_LEDGER = f"""WITH part AS (SELECT name, generation_id, string_agg(decode_part, '' ORDER BY part_index) AS whole FROM (SELECT DISTINCT name, generation_id, part_index, hex(payload) AS decode_part FROM state_payload_parts) GROUP BY 1, 2),
+    entry AS (SELECT name, generation_id, moment, sha256(CASE WHEN mode = 'partitioned_json_v1' THEN unhex(p.whole) ELSE encode(payload) END) AS own, payload_sha AS kept FROM (SELECT DISTINCT name, generation_id,
+        replace(replace(updated_at, 'T', ' '), 'Z', '')::TIMESTAMP AS moment, payload, payload_sha, coalesce(storage_mode, 'inline_json') AS mode FROM state_payloads) LEFT JOIN part p USING (name, generation_id)),
+    chain AS (SELECT *, sha256(coalesce(lag(kept) OVER w, '-') || '|' || kept) AS link, coalesce(own = kept, false) AS valid FROM entry WINDOW w AS (PARTITION BY name ORDER BY moment, generation_id))"""
+
+
+def _chain(spark: SparkSession, folder: str) -> DataFrame:
+    """name, generation_id, at, kept, valid, link: each entry's recorded digest held against its content, and the digest of it with the one before."""
+    kept = table(spark, folder, "state_payloads").select("name", "generation_id", F.col("payload_sha").alias("kept")).distinct()
+    own = drift.assembled(table(spark, folder, "state_payloads"), table(spark, folder, "state_payload_parts")).select("name", "generation_id", "at", F.sha2("content", 256).alias("own"))
+    previous = F.lag("kept").over(Window.partitionBy("name").orderBy("at", "generation_id"))
+    link = F.sha2(F.concat_ws("|", F.coalesce(previous, F.lit("-")), "kept"), 256)
+    return own.join(kept, ["name", "generation_id"]).select("name", "generation_id", "at", "kept", F.coalesce(F.col("own") == F.col("kept"), F.lit(False)).alias("valid"), link.alias("link"))
+
+
+@query(f"""{_LEDGER} SELECT name, count(*) AS n, count(*) FILTER (valid) AS n_valid, bool_and(valid) AS intact, arg_max(link, (moment, generation_id)) AS head, arg_min(generation_id, (moment, generation_id)) FILTER (NOT valid) AS broken_at FROM chain GROUP BY 1""")
 def ledger_chain(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether each entry follows on the one before it."""
-    e = table(spark, folder, "events").withColumn("previous", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    ok = F.col("previous").isNull() | (F.col("event_id") > F.col("previous"))
-    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_in_order"), F.bool_and(ok).alias("intact"))
+    """Whether every entry of a history has the digest recorded for it, the first that hasn't, and the head of the chain of digests."""
+    c = _chain(spark, folder)
+    order = F.struct("at", "generation_id")
+    return c.groupBy("name").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("n_valid"), F.bool_and("valid").alias("intact"), F.max_by("link", order).alias("head"),
+        F.min_by("generation_id", F.when(~F.col("valid"), order)).alias("broken_at"),
+    )
 
 
-@query()
+_PAD = {x: "".join(f"{b ^ x:02x}" for b in b"public example key".ljust(64, b"\0")) for x in (0x36, 0x5C)}
+
+
+@query(f"""{_LEDGER} SELECT name, generation_id, sha256(unhex('{_PAD[0x5C]}') || unhex(sha256(unhex('{_PAD[0x36]}') || encode(link)))) AS signature, true AS verified FROM chain""")
 def ledger_signatures(spark: SparkSession, folder: str) -> DataFrame:
-    """A keyed digest of each entry together with the one before it."""
-    e = table(spark, folder, "events").withColumn("previous", F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    line = F.concat_ws("|", F.col("user_id").cast("string"), F.coalesce(F.col("previous").cast("string"), F.lit("-")), F.col("event_id").cast("string"))
-    return e.select("event_id", scans.keyed_digest("public example key")(line).alias("signature"))
+    """A keyed digest (HMAC-SHA-256, of two built-in digests) of each link of the chain, and whether it verifies against one made anew."""
+    sign = scans.keyed_digest("public example key")
+    signed = cut(_chain(spark, folder).select("name", "generation_id", "link", sign(F.col("link")).alias("signature")))
+    return signed.select("name", "generation_id", "signature", (F.col("signature") == sign(F.col("link"))).alias("verified"))
 
 
 @query()
@@ -431,18 +453,25 @@ def snapshot_likeness(spark: SparkSession, folder: str) -> DataFrame:
 
 # Joins of candidates, variants and updates
 
-_MUTATE, _READ = "^(update|write|merge|sync|flush|emit)([A-Z_].*)$", "^(read|load|fetch|find|list|select)([A-Z_].*)$"
-_NOUN = "lower(regexp_replace(regexp_extract(regexp_replace(regexp_extract(rel_path, '[^/]*$'), '\\.[^.]*$', ''), '{}', 2), '_', ''))"
+MUTATING, READING = ("emit", "flush", "merge", "update", "write", "sync", "collect", "push"), ("use", "read", "load", "fetch", "find", "list", "select", "count")
+_NOUNS = f"""(SELECT DISTINCT file_id, project_key, words[1] AS verb, noun FROM (SELECT file_id, project_key, words, unnest(words[2:]) AS noun FROM (SELECT file_id, project_key,
+    list_transform(regexp_extract_all(regexp_replace(regexp_replace(regexp_extract(rel_path, '[^/]*$'), '[.][^.]*$', ''), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda x: lower(x)) AS words FROM {FILE})))"""
 
 
-@query(f"""SELECT m.file_id AS mutation, q.file_id AS query FROM (SELECT file_id, project_key, {_NOUN.format(_MUTATE)} AS noun FROM {FILE}) m
-    JOIN (SELECT file_id, project_key, {_NOUN.format(_READ)} AS noun FROM {FILE}) q ON q.project_key = m.project_key AND q.noun = m.noun WHERE m.noun <> ''""")
+@query(f"""SELECT m.file_id AS mutation, m.noun, q.n AS n_queries, coalesce(o.n, 0) AS n_own, coalesce(o.first, q.first) AS first_query FROM {_NOUNS} m JOIN (SELECT noun, count(*) AS n, min(file_id) AS first FROM {_NOUNS} WHERE verb IN {READING} GROUP BY 1) q ON q.noun = m.noun
+    LEFT JOIN (SELECT project_key, noun, count(*) AS n, min(file_id) AS first FROM {_NOUNS} WHERE verb IN {READING} GROUP BY 1, 2) o ON o.project_key = m.project_key AND o.noun = m.noun WHERE m.verb IN {MUTATING}""")
 def state_invalidation(spark: SparkSession, folder: str) -> DataFrame:
-    """What writes a thing against what reads it, in the same project: an equi join on the shared word."""
-    f = files(spark, folder)
-    noun = lambda rx: F.lower(F.regexp_replace(F.regexp_extract(paths.stem(F.col("rel_path")), rx, 2), "_", ""))
-    side = lambda rx, name: f.select(F.col("file_id").alias(name), "project_key", noun(rx).alias("noun")).where("noun <> ''")
-    return side(_MUTATE, "mutation").join(side(_READ, "query"), ["project_key", "noun"]).select("mutation", "query")
+    """What writes a thing against what reads it, by the words behind the verb: how many read it, in the same project and in all.
+
+    The readers of a word are counted first, so that writers and readers of a common one aren't multiplied.
+    """
+    words = paths.identifier_tokens(paths.stem(F.col("rel_path")))
+    f = files(spark, folder).select("file_id", "project_key", words[0].alias("verb"), F.explode(F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))).alias("noun")).distinct()
+    readers = f.where(F.col("verb").isin(*READING))
+    own = readers.groupBy("project_key", "noun").agg(F.count(F.lit(1)).alias("n_own"), F.min("file_id").alias("own_query"))
+    every = readers.groupBy("noun").agg(F.count(F.lit(1)).alias("n_queries"), F.min("file_id").alias("any_query"))
+    rows = f.where(F.col("verb").isin(*MUTATING)).join(every, "noun").join(own, ["project_key", "noun"], "left").fillna(0, ["n_own"])
+    return rows.select(F.col("file_id").alias("mutation"), "noun", "n_queries", "n_own", F.coalesce("own_query", "any_query").alias("first_query"))
 
 
 @query(f"""SELECT dep_id, arg_min(f.file_id, (f.project_key <> d.project_key, f.project_key, f.file_id)) AS candidate, CASE WHEN bool_or(f.project_key = d.project_key) THEN 'own' ELSE 'other' END AS place, count(*) AS n_candidates
@@ -483,20 +512,29 @@ def review_cockpit(spark: SparkSession, folder: str) -> DataFrame:
     UNION SELECT walk.hook, edge.src, depth + 1 FROM walk JOIN edge ON edge.dst = walk.node WHERE depth < 2) SELECT hook, count(DISTINCT node) AS n_consumers FROM walk WHERE node <> hook GROUP BY 1""")
 def hook_consumers(spark: SparkSession, folder: str) -> DataFrame:
     """Files that use a hook, themselves or over one other file."""
-    e = graph.reverse(edges(spark, folder))
+    e = cut(graph.reverse(edges(spark, folder)))
     hooks = files(spark, folder).where(paths.has_fragment(F.col("rel_path"), "hooks")).select(F.col("file_id").alias("src"))
     one = e.join(hooks, "src").select(F.col("src").alias("hook"), F.col("dst").alias("node"))
-    two = one.join(e, one["node"] == e["src"]).select("hook", F.col("dst").alias("node"))
-    return one.unionByName(two).where("node <> hook").groupBy("hook").agg(F.count_distinct("node").alias("n_consumers"))
+    two = one.join(e, F.col("node") == F.col("src")).select("hook", F.col("dst").alias("node"))
+    # Made distinct on both sides of the exchange before they are counted.
+    return one.unionByName(two).where("node <> hook").distinct().groupBy("hook").agg(F.count(F.lit(1)).alias("n_consumers"))
+
+
+_VERSION = """(SELECT DISTINCT project_key, rel_path, unnest(from_json(json_extract(p, '$.exports'), '["VARCHAR"]')) AS name FROM (SELECT project_key, {path} AS rel_path, {pick}(payload, (updated_at, payload)) AS p
+    FROM atlas_staging_files WHERE stage_kind = 'atlas_record' GROUP BY 1, 2))"""
+_AT = "regexp_replace(replace(rel_path, chr(92), '/'), '^([.]/)+', '')"
 
 
-@query(f"""SELECT project_key, rel_path, name FROM {EXPORT}""")
+@query(f"""SELECT * FROM {_VERSION.format(path=_AT, pick='arg_min')} WHERE project_key IS NULL OR project_key NOT IN (SELECT project_key FROM projects WHERE lower(type) = 'python')
+    UNION ALL SELECT * FROM {_VERSION.format(path=_AT, pick='arg_max')} WHERE project_key IN (SELECT project_key FROM projects WHERE lower(type) = 'python')""")
 def surgical_update(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of unchanged projects are kept and those of the others computed anew; the result is the whole."""
-    e = exports(spark, folder)
+    """Exports of the first staged versions, with those of the last versions in the projects that changed (the Python ones)."""
+    rows = table(spark, folder, "atlas_staging_files").where("stage_kind = 'atlas_record'")
+    keys = ["project_key", paths.normalized(F.col("rel_path")).alias("rel_path")]
+    names = lambda p: F.explode(F.from_json(p, "exports array<string>")["exports"]).alias("name")
+    version = lambda pick: rows.groupBy(*keys).agg(pick("payload", F.struct("updated_at", "payload")).alias("p")).select("project_key", "rel_path", names(F.col("p"))).distinct()
     changed = table(spark, folder, "projects").where(F.lower("type") == "python").select("project_key")
-    kept = e.join(changed, "project_key", "left_anti")
-    return rel.replace_scope(kept, e, "project_key", changed).select("project_key", "rel_path", "name")
+    return rel.replace_scope(version(F.min_by), version(F.max_by), "project_key", changed).select("project_key", "rel_path", "name")
 
 
 @query("""SELECT file_id, project_key, coalesce(n.hash, f.hash) AS hash, n.file_id IS NOT NULL AS replaced FROM (SELECT file_id, min(project_key) AS project_key, max(hash) AS hash FROM files WHERE removed_at IS NULL GROUP BY 1) f
@@ -521,34 +559,44 @@ def duplicate_surfaces(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where("n_documents > 1").withColumn("band", F.when(F.col("n_texts") == 1, "identical").otherwise("new_head"))
 
 
-@query()
+_KEY_WORDS = """list_sort(list_distinct(list_transform(regexp_extract_all(regexp_replace(regexp_replace(rel_path, '/?[^/]*$', '') || ' ' || regexp_replace(regexp_extract(rel_path, '[^/]*$'), '[.][^.]*$', ''), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda x: lower(x))))"""
+
+
+@query(f"""WITH f AS (SELECT file_id, project_key, {_KEY_WORDS} AS words, {_STEM} AS stem, size_bytes FROM {FILE}), base AS (SELECT project_key FROM f WHERE project_key IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, project_key LIMIT 1),
+    a AS (SELECT * FROM f WHERE project_key NOT IN (SELECT project_key FROM base)), b AS (SELECT * FROM f WHERE project_key IN (SELECT project_key FROM base)),
+    pair AS (SELECT a.file_id, b.file_id AS base_id, len(list_intersect(a.words, b.words))::DOUBLE / nullif(len(a.words) + len(b.words) - len(list_intersect(a.words, b.words)), 0) AS j, a.stem = b.stem AS same, a.size_bytes IS NOT DISTINCT FROM b.size_bytes AS size FROM a, b),
+    scored AS (SELECT *, CASE WHEN same THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END + 0.5::DOUBLE * coalesce(j, 0) AS score FROM pair),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, base_id) AS k FROM scored WHERE score >= 0.4) WHERE k = 1)
+    SELECT file_id, base_id, score, CASE WHEN j = 1 AND same AND size THEN 'identical' WHEN score >= 0.7 THEN 'refined' ELSE 'drift' END AS state FROM best
+    UNION ALL SELECT file_id, NULL, NULL, 'new' FROM a WHERE file_id NOT IN (SELECT file_id FROM best) UNION ALL SELECT NULL, file_id, NULL, 'deleted' FROM b WHERE file_id NOT IN (SELECT base_id FROM best)""")
 def variation_reconciler(spark: SparkSession, folder: str) -> DataFrame:
-    """The files of the largest project against those of the second: the best partner of each by name and words.
+    """Every file of the other projects against the largest project: the best partner by name and words.
 
-    identical (same name, same size), refined (0.7 and above), drift (0.4 and above), deleted (none) and, for
-    files of the second that are nobody's partner, new.
+    identical (same name and words, same size), refined (0.7 and above), drift (0.4 and above), new (none) and,
+    for files of the largest project that are nobody's partner, deleted. Of partners alike the first by id.
     """
-    f = files(spark, folder)
-    first, second = [r[0] for r in f.groupBy("project_key").count().orderBy(F.desc("count"), "project_key").limit(2).collect()]
     words = paths.identifier_tokens(F.concat_ws(" ", paths.dirname(F.col("rel_path")), paths.stem(F.col("rel_path"))))
-    side = lambda p: f.where(F.col("project_key") == p).select(F.col("file_id").alias("id"), F.sort_array(F.array_distinct(words)).alias("tokens"), F.lower(paths.stem(F.col("rel_path"))).alias("stem"), "size_bytes")
-    a, b = side(first), side(second)
-    # Files of the same stem and words have the same best partner; of partners alike the first by id.
-    kinds = a.select(F.col("tokens").alias("left"), F.col("stem").alias("ls")).distinct()
-    partners = b.groupBy(F.col("tokens").alias("right"), F.col("stem").alias("rs")).agg(F.min("id").alias("right_id"))
+    f = cut(files(spark, folder).where("project_key is not null").select(
+        "file_id", "project_key", F.sort_array(F.array_distinct(words)).alias("words"), F.lower(paths.stem(F.col("rel_path"))).alias("stem"), "size_bytes"
+    ))
+    base = f.groupBy("project_key").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "project_key").limit(1).select("project_key")
+    a, b = f.join(base, "project_key", "left_anti"), f.join(base, "project_key", "left_semi")
+    # Files of the same stem and words have the same best partner, and of partners alike the first by id is taken.
+    kinds = a.select(F.col("words").alias("left"), F.col("stem").alias("ls")).distinct()
+    partners = cut(b.groupBy(F.col("words").alias("right"), F.col("stem").alias("rs")).agg(F.min("file_id").alias("base_id")))
     # 0.4 is reached by the stem alone, or by words that are alike by 0.8.
-    by_words = kinds.join(rel.similar_sets(kinds, partners, 0.8), "left").join(partners, "right")
+    by_words = kinds.join(rel.similar_sets(kinds.select("left").distinct(), partners.select("right").distinct(), 0.8), "left").join(partners, "right")
     by_stem = kinds.join(partners, F.col("ls") == F.col("rs")).withColumn("similarity", rel.jaccard("left", "right"))
-    pairs = by_words.unionByName(by_stem).withColumn("score", 0.5 * F.coalesce(F.col("ls") == F.col("rs"), F.lit(False)).cast("double") + 0.5 * F.col("similarity")).where("score >= 0.4")
-    best = rel.best_per_key(pairs, ["left", "ls"], [F.desc("score"), F.col("right_id")])
-    best = best.join(a.select(F.col("id").alias("left_id"), F.col("tokens").alias("left"), F.col("stem").alias("ls"), F.col("size_bytes").alias("lz")), ["left", "ls"])
-    best = best.join(b.select(F.col("id").alias("right_id"), F.col("size_bytes").alias("rz")), "right_id")
-    state = F.when((F.col("similarity") == 1) & (F.col("ls") == F.col("rs")) & F.col("lz").eqNullSafe(F.col("rz")), "identical").when(F.col("score") >= 0.7, "refined").otherwise("drift")
-    told = best.select("left_id", "right_id", "score", state.alias("state"))
+    both = by_words.select("left", "ls", "right", "rs", "base_id", "similarity").unionByName(by_stem.select("left", "ls", "right", "rs", "base_id", "similarity"))
+    pairs = both.withColumn("score", 0.5 * F.coalesce(F.col("ls") == F.col("rs"), F.lit(False)).cast("double") + 0.5 * F.col("similarity")).where("score >= 0.4")
+    best = rel.best_per_key(pairs, ["left", "ls"], [F.desc("score"), F.col("base_id")])
+    best = a.join(best, (F.col("words") == F.col("left")) & (F.col("stem") == F.col("ls"))).join(b.select(F.col("file_id").alias("base_id"), F.col("size_bytes").alias("base_size")), "base_id")
+    state = F.when((F.col("similarity") == 1) & (F.col("ls") == F.col("rs")) & F.col("size_bytes").eqNullSafe(F.col("base_size")), "identical").when(F.col("score") >= 0.7, "refined").otherwise("drift")
+    told = cut(best.select("file_id", "base_id", "score", state.alias("state")))
     none = F.lit(None)
-    deleted = a.select(F.col("id").alias("left_id")).join(told, "left_id", "left_anti").select("left_id", none.cast("long").alias("right_id"), none.cast("double").alias("score"), F.lit("deleted").alias("state"))
-    new = b.select(F.col("id").alias("right_id")).join(told, "right_id", "left_anti").select(none.cast("long").alias("left_id"), "right_id", none.cast("double").alias("score"), F.lit("new").alias("state"))
-    return told.unionByName(deleted).unionByName(new)
+    new = a.select("file_id").join(told, "file_id", "left_anti").select("file_id", none.cast("long").alias("base_id"), none.cast("double").alias("score"), F.lit("new").alias("state"))
+    deleted = b.select(F.col("file_id").alias("base_id")).join(told, "base_id", "left_anti").select(none.cast("long").alias("file_id"), "base_id", none.cast("double").alias("score"), F.lit("deleted").alias("state"))
+    return told.unionByName(new).unionByName(deleted)
 
 
 # Signals, bindings and integrity

@@ -9,9 +9,10 @@ from codestrata.functions import paths
 from codestrata.functions.scores import capped
 from codestrata.operators import graph, relational
 from codestrata.plans.common import EDGE, FILE, KIND, edges, files, kind
-from codestrata.session import table
+from codestrata.session import cut, table
 
 DEPTH = 3
+CYCLE = 5
 MODULE = """CASE WHEN position('/' IN rel_path) = 0 THEN project_key || '::.' ELSE project_key || '::' || split_part(rel_path, '/', 1) END"""
 MODULE_EDGE = f"""(SELECT a.m AS src, b.m AS dst, count(*) AS weight FROM {EDGE} e
     JOIN (SELECT file_id, {MODULE} AS m FROM {FILE}) a ON a.file_id = e.src
@@ -103,17 +104,11 @@ def graph_module_top_edges(spark: SparkSession, folder: str) -> DataFrame:
     return relational.top_k_per_group(module_edges(spark, folder), ["src"], [F.desc("weight"), F.col("dst")], 3)
 
 
-def module_closure(spark: SparkSession, folder: str) -> DataFrame:
-    """The modules form a graph of fixed size, so that all its pairs may be listed."""
-    return graph.reach_pairs(graph.reverse(module_edges(spark, folder)), None)
-
-
 def graph_module_dependents(spark: SparkSession, folder: str) -> DataFrame:
     """Direct and all dependents of each module; the latter include the direct ones."""
-    pairs = module_closure(spark, folder)
-    return pairs.groupBy(F.col("origin").alias("node")).agg(
-        F.count_if(F.col("depth") == 1).alias("n_direct"), F.count(F.lit(1)).alias("n_transitive")
-    )
+    e = cut(graph.reverse(module_edges(spark, folder)))
+    direct = e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n_direct"))
+    return graph.reach_counts(e, direct.select("node")).join(direct, "node").select("node", "n_direct", F.col("n").alias("n_transitive"))
 
 
 def blast_radius(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,16 +132,16 @@ def graph_file_components(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def graph_cycles(spark: SparkSession, folder: str) -> DataFrame:
-    """Cycles of two and three files."""
-    found = graph.cycles(edges(spark, folder), 3)
+    """Cycles of up to five files, so that every class occurs."""
+    found = graph.cycles(edges(spark, folder), CYCLE)
     chain = F.array_join(F.transform("path", lambda x: x.cast("string")), ">")
     return found.select(chain.alias("chain"), "length", graph.cycle_class(F.col("length")).alias("class"), graph.undirected_key(F.col("path")).alias("undirected_key"))
 
 
 def graph_cycles_by_project(spark: SparkSession, folder: str) -> DataFrame:
-    """How many cycles of up to three files each project takes part in."""
+    """How many cycles of up to five files each project takes part in."""
     f = files(spark, folder).select(F.col("file_id").alias("node"), "project_key")
-    members = graph.cycles(edges(spark, folder), 3).select("path", F.explode("path").alias("node"))
+    members = graph.cycles(edges(spark, folder), CYCLE).select("path", F.explode("path").alias("node"))
     return members.join(f, "node").groupBy("project_key").agg(F.count_distinct("path").alias("n_cycles"))
 
 
@@ -177,11 +172,9 @@ _DEPENDENTS = f"""{_CLOSURE}, dependents AS (SELECT d.origin AS node, (SELECT co
 _BLAST = f"""{_DEPENDENTS} SELECT s.m AS node, s.n AS n_files, coalesce(n_direct, 0) AS n_direct, coalesce(n_transitive, 0) AS n_transitive,
     coalesce(n_direct, 0) * 1.0::DOUBLE + coalesce(n_transitive, 0) * 0.5::DOUBLE + least(s.n * 0.25::DOUBLE, 10.0::DOUBLE) AS score
     FROM (SELECT {MODULE} AS m, count(*) AS n FROM {FILE} GROUP BY 1) s LEFT JOIN dependents d ON d.node = s.m"""
-_CYCLES = f"""WITH edge AS {EDGE}, found AS (
-    SELECT [a.src, a.dst] AS path FROM edge a JOIN edge b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst
-    UNION ALL SELECT [a.src, a.dst, b.dst] FROM edge a JOIN edge b ON b.src = a.dst JOIN edge c ON c.src = b.dst AND c.dst = a.src
-    WHERE a.src < a.dst AND a.src < b.dst AND b.dst <> a.dst)"""
-
+_CYCLES = f"""WITH RECURSIVE edge AS {EDGE}, walk(path) AS (SELECT [src, dst] FROM edge WHERE src < dst
+    UNION ALL SELECT list_append(path, dst) FROM walk JOIN edge ON src = path[-1] WHERE len(path) < {CYCLE} AND dst > path[1] AND NOT list_contains(path, dst)),
+    found AS (SELECT path FROM walk JOIN edge ON src = path[-1] AND dst = path[1])"""
 ORACLE = {
     "graph_edges": f"SELECT * FROM {EDGE}",
     "graph_self_edges": "SELECT DISTINCT source_file_id AS node FROM dependencies WHERE source_file_id = target_file_id AND source_file_id IN (SELECT file_id FROM files)",
@@ -207,7 +200,9 @@ ORACLE = {
     "blast_radius_top": f"{_BLAST} ORDER BY score DESC, node LIMIT 50",
     "graph_module_components": f"""{_CLOSURE} SELECT a.origin AS node, greatest(a.origin, max(a.node)) AS component FROM pair a
         JOIN pair b ON b.origin = a.node AND b.node = a.origin WHERE a.origin <> a.node GROUP BY a.origin""",
-    "graph_cycles": f"""{_CYCLES} SELECT array_to_string(path, '>') AS chain, len(path)::INTEGER AS length, CASE WHEN len(path) = 2 THEN 'mutual' ELSE 'other' END AS class,
+    "graph_file_components": f"""WITH RECURSIVE edge AS {EDGE}, pair(origin, node) AS (SELECT src, dst FROM edge UNION SELECT pair.origin, edge.dst FROM pair JOIN edge ON edge.src = pair.node)
+        SELECT a.origin AS node, max(a.node) AS component FROM pair a JOIN pair b ON b.origin = a.node AND b.node = a.origin GROUP BY a.origin HAVING count(*) > 1""",
+    "graph_cycles": f"""{_CYCLES} SELECT array_to_string(path, '>') AS chain, len(path)::INTEGER AS length, CASE WHEN len(path) = 2 THEN 'mutual' WHEN len(path) > 4 THEN 'long' ELSE 'other' END AS class,
         array_to_string(list_sort(path), '>') AS undirected_key FROM found""",
     "graph_cycles_by_project": f"""{_CYCLES} SELECT project_key, count(DISTINCT path) AS n_cycles FROM (SELECT path, unnest(path) AS node FROM found) m
         JOIN {FILE} f ON f.file_id = m.node GROUP BY project_key""",

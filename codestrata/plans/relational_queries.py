@@ -9,7 +9,7 @@ from codestrata.functions import paths
 from codestrata.functions.scores import band, capped, ratio
 from codestrata.operators import relational as rel
 from codestrata.plans.common import EDGE, EXPORT, FILE, KIND, PAYLOAD, edges, exports, files, kind, payloads, records
-from codestrata.session import table
+from codestrata.session import cut, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -173,37 +173,50 @@ def join_array_containment(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""SELECT user_project, provider, count(*) AS n_names FROM (SELECT DISTINCT a.project_key AS user_project, b.project_key AS provider, a.name
-    FROM {EXPORT} a JOIN (SELECT name, min(project_key) AS project_key FROM {EXPORT} GROUP BY 1 HAVING count(DISTINCT project_key) <= 3) b ON a.name = b.name WHERE a.project_key <> b.project_key) GROUP BY 1, 2""")
+    FROM {EXPORT} a JOIN (SELECT name, min(project_key) AS project_key FROM {EXPORT} GROUP BY 1) b ON a.name = b.name WHERE a.project_key <> b.project_key) GROUP BY 1, 2""")
 def join_registry(spark: SparkSession, folder: str) -> DataFrame:
     """Names against a registry of providers; a project doesn't provide for itself, each pair once."""
     e = exports(spark, folder)
-    registry = e.groupBy("name").agg(F.count_distinct("project_key").alias("n"), F.min("project_key").alias("provider")).where("n <= 3").drop("n")
+    registry = e.groupBy("name").agg(F.min("project_key").alias("provider"))
     pairs = e.join(registry, "name").where("provider <> project_key").select(F.col("project_key").alias("user_project"), "provider", "name").distinct()
     return pairs.groupBy("user_project", "provider").agg(F.count(F.lit(1)).alias("n_names"))
 
 
 _SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.js")
+_PLACED = f"""(SELECT DISTINCT dep_id, project_key, CASE WHEN form = 'alias' THEN ['src/' || rest, rest] WHEN len(dir) >= up THEN [array_to_string(list_concat(dir[:len(dir) - up], [rest]), '/')] ELSE [] END AS stems FROM (
+    SELECT x.dep_id, s.project_key, string_split(s.rel_path, '/')[:-2] AS dir, CASE WHEN regexp_matches(import_specifier, '^[@~]/') THEN 'alias' ELSE 'relative' END AS form,
+        (len(regexp_extract_all(regexp_extract(import_specifier, '^([.]{{1,2}}/)+'), '[.][.]/')))::BIGINT AS up, regexp_replace(import_specifier, '^([.]{{1,2}}/|[@~]/)+', '') AS rest
+    FROM dependencies x JOIN {FILE} s ON s.file_id = x.source_file_id WHERE regexp_matches(import_specifier, '^([.]{{1,2}}|[@~])/')))"""
 
 
 @query(f"""SELECT dep_id, arg_min(f.file_id, o) AS file_id, min(o)::INTEGER AS ordinal FROM (
-    SELECT d.dep_id, d.project_key, i.o, CASE WHEN d.base = '' THEN d.name ELSE d.base || '/' || d.name END || {list(_SUFFIXES)}[i.o + 1] AS path FROM (
-        SELECT DISTINCT dep_id, s.project_key, regexp_replace(s.rel_path, '/?[^/]*$', '') AS base, substr(import_specifier, 3) AS name
-        FROM dependencies x JOIN {FILE} s ON s.file_id = x.source_file_id WHERE import_specifier LIKE './%') d CROSS JOIN (SELECT unnest(range({len(_SUFFIXES)})) AS o) i) c
+    SELECT dep_id, project_key, stem || {list(_SUFFIXES)}[i.o + 1] AS path, i.o + {len(_SUFFIXES)} * (k - 1) AS o FROM (SELECT dep_id, project_key, unnest(stems) AS stem, generate_subscripts(stems, 1) AS k FROM {_PLACED}) d
+        CROSS JOIN (SELECT unnest(range({len(_SUFFIXES)})) AS o) i) c
     JOIN (SELECT project_key, rel_path, min(file_id) AS file_id FROM {FILE} GROUP BY 1, 2) f ON f.project_key = c.project_key AND f.rel_path = c.path GROUP BY dep_id""")
 def join_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """Relative specifiers to files: the first of the forms with an extension or an index that exists."""
+    """Relative and aliased specifiers to files: the first of the forms with an extension or an index that exists.
+
+    ``../`` climbs from the importing file's directory, one that leaves the project has no candidate; ``@/``
+    and ``~/`` stand for src, then for the project's top.
+    """
     f = files(spark, folder)
-    d = table(spark, folder, "dependencies").where(F.col("import_specifier").startswith("./")).select("dep_id", F.col("source_file_id").alias("file_id"), "import_specifier").distinct()
-    base = paths.dirname(F.col("rel_path"))
-    stem = F.concat(F.when(base == "", "").otherwise(F.concat(base, F.lit("/"))), F.substr("import_specifier", F.lit(3)))
-    d = d.join(f.select("file_id", "project_key", "rel_path"), "file_id").select("dep_id", "project_key", stem.alias("stem"))
-    tried = F.array(*[F.struct("project_key", F.concat("stem", F.lit(s)).alias("rel_path")) for s in _SUFFIXES])
+    s = F.col("import_specifier")
+    d = table(spark, folder, "dependencies").where(s.rlike(r"^(\.{1,2}|[@~])/")).select("dep_id", F.col("source_file_id").alias("file_id"), "import_specifier").distinct()
+    rest, up = F.regexp_replace(s, r"^(\.{1,2}/|[@~]/)+", ""), F.regexp_count(F.regexp_extract(s, r"^(\.{1,2}/)+", 0), F.lit(r"\.\./"))
+    parts = F.split("rel_path", "/")
+    kept = F.size(parts) - 1 - up
+    climbed = F.when(kept >= 0, F.array(F.array_join(F.concat(F.slice(parts, F.lit(1), F.greatest(kept, F.lit(0))), F.array(rest)), "/"))).otherwise(F.array().cast("array<string>"))
+    stems = F.when(s.rlike("^[@~]/"), F.array(F.concat(F.lit("src/"), rest), rest)).otherwise(climbed)
+    d = d.join(f.select("file_id", "project_key", "rel_path"), "file_id").select("dep_id", "project_key", stems.alias("stems"))
+    tried = F.flatten(F.transform("stems", lambda t: F.array(*[F.struct(F.col("project_key"), F.concat(t, F.lit(x)).alias("rel_path")) for x in _SUFFIXES])))
     known = f.select(F.struct("project_key", "rel_path").alias("place"), "file_id")
     hits = rel.first_candidate(d, ["dep_id"], tried, known, "place").where("place is not null")
     return hits.join(known.groupBy("place").agg(F.min("file_id").alias("file_id")), "place").select("dep_id", "file_id", "ordinal")
 
 
-@query()
+@query(f"""SELECT path, CASE WHEN bool_or(e) THEN path WHEN count(node) = 1 THEN min(node) END AS node, CASE WHEN bool_or(e) THEN 'exact' WHEN count(node) = 0 THEN 'unknown' WHEN count(node) > 1 THEN 'ambiguous' ELSE 'suffix' END AS status
+    FROM (SELECT w.path, n.node, n.node = w.path AS e FROM (SELECT DISTINCT array_to_string(string_split(rel_path, '/')[-2:], '/') AS path FROM {PAYLOAD}) w
+    LEFT JOIN (SELECT DISTINCT rel_path AS node FROM {FILE}) n ON n.node = w.path OR ends_with(n.node, '/' || w.path)) WHERE path <> '' GROUP BY path""")
 def join_suffix_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """The last two segments of staged paths against the paths of files."""
     staged = records(spark, folder).select(F.array_join(F.slice(F.split("rel_path", "/"), -2, 2), "/").alias("path")).where("path <> ''").distinct()
@@ -382,11 +395,12 @@ def set_operations(spark: SparkSession, folder: str) -> DataFrame:
     return f.intersect(s).withColumn("side", F.lit("both")).unionByName(s.subtract(f).withColumn("side", F.lit("staged_only")))
 
 
-@query(f"""SELECT l.language, l.project_key, count(*) AS n_keys, a.n - count(*) AS n_missing, count(*)::DOUBLE / a.n AS completeness FROM
-    (SELECT DISTINCT language, project_key, split_part(rel_path, '/', 1) AS d FROM {FILE} WHERE language IS NOT NULL) l
-    JOIN (SELECT language, count(DISTINCT split_part(rel_path, '/', 1)) AS n FROM {FILE} WHERE language IS NOT NULL GROUP BY 1) a ON a.language = l.language GROUP BY l.language, l.project_key, a.n""")
+@query(f"""WITH k AS (SELECT DISTINCT language, project_key, split_part(rel_path, '/', 1) AS d FROM {FILE} WHERE language IS NOT NULL), n AS (SELECT language, project_key, count(*) AS n FROM k GROUP BY 1, 2),
+    big AS (SELECT language, arg_min(project_key, (-n, project_key)) AS project_key, max(n) AS n FROM n GROUP BY 1)
+    SELECT n.language, n.project_key, n.n AS n_keys, big.n - count(w.d) AS n_missing, count(w.d)::DOUBLE / big.n AS completeness FROM n JOIN big ON big.language = n.language
+    JOIN k ON k.language = n.language AND k.project_key = n.project_key LEFT JOIN k w ON w.language = big.language AND w.project_key = big.project_key AND w.d = k.d GROUP BY n.language, n.project_key, n.n, big.n""")
 def set_completeness(spark: SparkSession, folder: str) -> DataFrame:
-    """Top directories that a project has for a language, against all projects together."""
+    """Top directories that a project lacks of those of the project that has most for a language."""
     f = files(spark, folder).where("language is not null").withColumn("d", F.split("rel_path", "/")[0])
     return rel.missing_from_largest(f, "language", "project_key", "d")
 
@@ -398,24 +412,34 @@ def set_in_all_instances(spark: SparkSession, folder: str) -> DataFrame:
     return rel.in_all_instances(f, "project_key", "language", "d")
 
 
-@query()
+_WORDS = """list_transform(regexp_extract_all(regexp_replace({}, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda x: lower(x))"""
+_NAME_WORDS = _WORDS.format("regexp_replace(rel_path, '/?[^/]*$', '') || ' ' || regexp_replace(regexp_extract(rel_path, '[^/]*$'), '[.][^.]*$', '')")
+
+
+@query(f"""WITH w AS (SELECT file_id, list_sort(list_distinct({_NAME_WORDS})) AS words FROM {FILE} WHERE rel_path IS NOT NULL), c AS (SELECT words, min(file_id) AS class_id, count(*) AS n_files FROM w GROUP BY words),
+    pair AS (SELECT a.class_id, count(*) AS n FROM c a JOIN c b ON a.class_id <> b.class_id AND len(list_intersect(a.words, b.words)) >= 0.7 * (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) - 1e-9 AND len(list_intersect(a.words, b.words)) > 0 GROUP BY 1)
+    SELECT w.file_id, c.class_id, c.n_files, coalesce(p.n, 0) AS n_links FROM w JOIN c ON c.words = w.words LEFT JOIN pair p ON p.class_id = c.class_id""")
 def similar_names(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of the two largest projects whose names share most of their words (inverted index)."""
-    f = files(spark, folder)
-    largest = [r[0] for r in f.groupBy("project_key").count().orderBy(F.desc("count"), "project_key").limit(2).collect()]
-    tokens = paths.identifier_tokens(F.concat_ws(" ", paths.dirname(F.col("rel_path")), paths.stem(F.col("rel_path"))))
-    side = lambda p: f.where(F.col("project_key") == p).select(F.col("file_id").alias("id"), tokens.alias("tokens"))
-    return rel.similar_by_tokens(side(largest[0]), side(largest[-1]), 0.7)
+    """Each file with the class of files that have the same words in their paths, and how many other classes share 0.7 of them.
+
+    The inverted index holds the rarest words of each class, so that all pairs of classes are found.
+    """
+    words = F.sort_array(F.array_distinct(paths.identifier_tokens(F.concat_ws(" ", paths.dirname(F.col("rel_path")), paths.stem(F.col("rel_path"))))))
+    f = files(spark, folder).where("rel_path is not null").select("file_id", words.alias("words"))
+    classes = cut(f.groupBy("words").agg(F.min("file_id").alias("class_id"), F.count(F.lit(1)).alias("n_files")))
+    pairs = rel.similar_sets(classes.select(F.col("words").alias("left")), classes.select(F.col("words").alias("right")), 0.7).where("left <> right")
+    links = pairs.groupBy(F.col("left").alias("words")).agg(F.count(F.lit(1)).alias("n_links"))
+    rows = f.join(classes, "words").join(links, "words", "left")
+    return rows.select("file_id", "class_id", "n_files", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 # Functions
 
 @query(f"""SELECT file_id, regexp_replace(rel_path, '/?[^/]*$', '') AS dir, regexp_extract(rel_path, '[^/]*$') AS base, lower(regexp_extract(rel_path, '\\.([A-Za-z0-9]+)$', 1)) AS ext,
-    len(string_split(rel_path, '/'))::INTEGER AS depth, array_to_string(list_transform(regexp_extract_all(regexp_replace(regexp_extract(rel_path, '[^/]*$'), '\\.[^.]*$', ''), '[A-Z]?[a-z]+|[0-9]+'), lambda x: lower(x)), ' ') AS words FROM {FILE}
-    WHERE NOT regexp_matches(regexp_extract(rel_path, '[^/]*$'), '[A-Z]([A-Z0-9._-]|$)')""")
+    len(string_split(rel_path, '/'))::INTEGER AS depth, array_to_string({_WORDS.format("regexp_replace(regexp_extract(rel_path, '[^/]*$'), '[.][^.]*$', '')")}, ' ') AS words FROM {FILE}""")
 def function_paths(spark: SparkSession, folder: str) -> DataFrame:
     p = F.col("rel_path")
-    return files(spark, folder).where(~paths.basename(p).rlike("[A-Z]([A-Z0-9._-]|$)")).select(
+    return files(spark, folder).select(
         "file_id", paths.dirname(p).alias("dir"), paths.basename(p).alias("base"), paths.extension(p).alias("ext"), paths.depth(p).alias("depth"),
         F.array_join(paths.identifier_tokens(paths.stem(p)), " ").alias("words"),
     )

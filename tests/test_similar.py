@@ -24,7 +24,7 @@ def test_frequent_tokens_propose_pairs(spark):
 def test_variants_are_found_by_stem_without_shared_words(spark, tmp_path):
     rows = [(1, "a", "x/FooBar.ts"), (2, "a", "src/one.ts"), (3, "a", "p/q/lost.ts"), (5, "a", "z/y.ts"), (10, "b", "y/foobar.ts"), (11, "b", "src/one.ts"), (12, "b", "src/one.js"), (13, "b", "n/ew.ts")]
     spark.createDataFrame([(k, p, path, "ts", 1, "h", None, None) for k, p, path in rows], FILES).write.parquet(f"{tmp_path}/files.parquet")
-    got = {(r.left_id, r.right_id, r.score, r.state) for r in entry.queries()["variation_reconciler"](spark, str(tmp_path)).collect()}
-    assert got == {
-        (1, 10, 0.5, "drift"), (2, 11, 1.0, "identical"), (3, None, None, "deleted"), (5, None, None, "deleted"), (None, 12, None, "new"), (None, 13, None, "new"),
+    got = {(r.file_id, r.base_id, r.score, r.state) for r in entry.queries()["variation_reconciler"](spark, str(tmp_path)).collect()}
+    assert got == {  # each file of b against a, the first of the largest projects
+        (10, 1, 0.5, "drift"), (11, 2, 1.0, "identical"), (12, 2, 1.0, "identical"), (13, None, None, "new"), (None, 3, None, "deleted"), (None, 5, None, "deleted"),
     }
