@@ -81,14 +81,27 @@ def remediation_backlog(spark: SparkSession, folder: str) -> DataFrame:
     return fnd.backlog(found(spark, folder), F.split("path", "/")[0], 5)
 
 
+_DEAD = f"""(SELECT e.project_key, e.rel_path, e.name, CASE WHEN regexp_matches(e.rel_path, '(^|/)index\\.[jt]sx?$') THEN 'barrel' WHEN contains('/' || e.rel_path || '/', '/tests/') THEN 'test'
+        WHEN f.file_id IS NULL THEN 'unknown_file' WHEN n.file_id IS NOT NULL THEN 'namespace_import' WHEN u.name IS NOT NULL AND i.dst IS NOT NULL THEN 'consumed' ELSE 'candidate' END AS reason,
+        CASE WHEN i.dst IS NULL AND u.name IS NULL THEN 'HIGH' WHEN u.name IS NULL THEN 'MEDIUM' ELSE 'LOW' END AS confidence
+    FROM {EXPORT} e LEFT JOIN (SELECT project_key, rel_path, min(file_id) AS file_id FROM {FILE} GROUP BY 1, 2) f ON f.project_key = e.project_key AND f.rel_path = e.rel_path
+    LEFT JOIN (SELECT DISTINCT dst FROM {EDGE}) i ON i.dst = f.file_id
+    LEFT JOIN (SELECT DISTINCT target_file_id AS file_id FROM dependencies WHERE {KIND} = 'namespace' AND target_file_id IS NOT NULL) n ON n.file_id = f.file_id
+    LEFT JOIN (SELECT DISTINCT lower(split_part(regexp_replace(s, '^[./@]+', ''), '/', 1)) AS name FROM (SELECT unnest(from_json(json_extract(payload, '$.imports'), '["VARCHAR"]')) AS s FROM {PAYLOAD})) u ON u.name = lower(e.name))"""
+
+
 # Scores and gates
 
 _METRIC = f"""(SELECT f.project_key AS project, count(*) AS n_files, sum((f.hash IS NULL)::INTEGER)::BIGINT AS n_no_hash, sum((size_bytes > 20000)::INTEGER)::BIGINT AS n_large,
     sum(coalesce(o.n, 0))::BIGINT AS n_links, sum((i.n IS NULL)::INTEGER)::BIGINT AS n_unimported FROM {FILE} f LEFT JOIN (SELECT src, count(*) AS n FROM {EDGE} GROUP BY 1) o ON o.src = f.file_id
     LEFT JOIN (SELECT dst, count(*) AS n FROM {EDGE} GROUP BY 1) i ON i.dst = f.file_id GROUP BY 1)"""
-_HEALTH = f"""(SELECT project, 100 - least(100.0::DOUBLE, 400.0::DOUBLE * n_no_hash / n_files) AS identity, 100 - least(100.0::DOUBLE, 300.0::DOUBLE * n_large / n_files) AS size,
-    100 - least(100.0::DOUBLE, 100.0::DOUBLE * n_unimported / n_files) AS used, 100 - least(100.0::DOUBLE, 5.0::DOUBLE * n_links / n_files) AS coupling FROM {_METRIC})"""
-_SCORE = f"(SELECT *, 0.3 * identity + 0.2 * size + 0.3 * used + 0.2 * coupling AS score FROM (SELECT project, identity::DOUBLE AS identity, size::DOUBLE AS size, used::DOUBLE AS used, coupling::DOUBLE AS coupling FROM {_HEALTH}))"
+MISSING = 50.0  # of a project that no rule was applied to, or that none found anything in
+PURITY = {"large_file": (2.0, 30.0), "deep_path": (1.0, 30.0), "no_hash": (0.5, 20.0), "no_language": (0.5, 20.0)}  # weight and cap
+_PURITY = f"""(SELECT project, 100 - sum(least(n * w, cap)) AS purity FROM (SELECT project, rule, count(*)::DOUBLE AS n FROM {_FINDING} GROUP BY 1, 2) f
+    JOIN (VALUES {', '.join(f"('{r}', {w}::DOUBLE, {c}::DOUBLE)" for r, (w, c) in PURITY.items())}) v(rule, w, cap) ON v.rule = f.rule GROUP BY 1)"""
+_HEALTH = f"""(SELECT m.project, 100 - least(100.0::DOUBLE, 400.0::DOUBLE * n_no_hash / n_files) AS identity, 100 - least(100.0::DOUBLE, 300.0::DOUBLE * n_large / n_files) AS size,
+    100 - least(100.0::DOUBLE, 100.0::DOUBLE * n_unimported / n_files) AS used, 100 - least(100.0::DOUBLE, 5.0::DOUBLE * n_links / n_files) AS coupling, coalesce(purity, {MISSING}::DOUBLE) AS purity FROM {_METRIC} m LEFT JOIN {_PURITY} p ON p.project = m.project)"""
+_SCORE = f"(SELECT *, 0.2 * identity + 0.15 * size + 0.25 * used + 0.2 * coupling + 0.2 * purity AS score FROM (SELECT project, identity::DOUBLE AS identity, size::DOUBLE AS size, used::DOUBLE AS used, coupling::DOUBLE AS coupling, purity::DOUBLE AS purity FROM {_HEALTH}))"
 
 
 def metrics(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,12 +113,22 @@ def metrics(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def health(spark: SparkSession, folder: str) -> DataFrame:
+def health(spark: SparkSession, folder: str, missing_default: float = MISSING) -> DataFrame:
+    """Five parts and their weighted sum; purity is missing_default where no rule found anything."""
     part = lambda name, weight: 100 - F.least(F.lit(100.0), F.lit(float(weight)) * F.col(name) / F.col("n_files"))
-    parts = metrics(spark, folder).select(
-        "project", part("n_no_hash", 400).alias("identity"), part("n_large", 300).alias("size"), part("n_unimported", 100).alias("used"), part("n_links", 5).alias("coupling")
+    weight = F.create_map(*[F.lit(x) for r, (w, c) in PURITY.items() for x in (r, w)])
+    cap = F.create_map(*[F.lit(x) for r, (w, c) in PURITY.items() for x in (r, c)])
+    n = found(spark, folder).groupBy("project", "rule").agg(F.count(F.lit(1)).alias("n"))
+    purity = n.groupBy("project").agg((100 - F.sum(F.least(F.col("n") * F.element_at(weight, F.col("rule")), F.element_at(cap, F.col("rule"))))).alias("purity"))
+    parts = metrics(spark, folder).join(purity, "project", "left").select(
+        "project", part("n_no_hash", 400).alias("identity"), part("n_large", 300).alias("size"), part("n_unimported", 100).alias("used"), part("n_links", 5).alias("coupling"),
+        F.coalesce("purity", F.lit(missing_default)).alias("purity"),
     )
-    return parts.withColumn("score", F.lit(0.3) * F.col("identity") + F.lit(0.2) * F.col("size") + F.lit(0.3) * F.col("used") + F.lit(0.2) * F.col("coupling"))
+    shares = (("identity", 0.2), ("size", 0.15), ("used", 0.25), ("coupling", 0.2), ("purity", 0.2))
+    score = F.lit(shares[0][1]) * F.col(shares[0][0])
+    for name, share in shares[1:]:
+        score = score + F.lit(share) * F.col(name)
+    return parts.withColumn("score", score)
 
 
 @query(f"SELECT *, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 55 THEN 'C' ELSE 'D' END AS grade FROM {_SCORE}")
@@ -113,16 +136,31 @@ def health_score(spark: SparkSession, folder: str) -> DataFrame:
     return health(spark, folder).withColumn("grade", band(F.col("score"), [(85, "A"), (70, "B"), (55, "C")], "D"))
 
 
-@query(f"""SELECT m, n_files, n_large, n_findings, risk, CASE WHEN risk >= 50 THEN 'HIGH' WHEN risk >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM (SELECT coalesce(a.m, b.m) AS m, coalesce(n_files, 0) AS n_files, coalesce(n_large, 0) AS n_large, coalesce(n_findings, 0) AS n_findings,
-    least(coalesce(n_large, 0) * 4.0::DOUBLE, 40.0::DOUBLE) + least(coalesce(n_findings, 0) * 0.5::DOUBLE, 60.0::DOUBLE) AS risk
-    FROM (SELECT split_part(rel_path, '/', 1) AS m, count(*) AS n_files, sum((size_bytes > 20000)::INTEGER)::BIGINT AS n_large FROM {FILE} GROUP BY 1) a
-    FULL JOIN (SELECT split_part(path, '/', 1) AS m, count(*) AS n_findings FROM {_FINDING} GROUP BY 1) b ON a.m = b.m)""")
+_TOP = "split_part(rel_path, '/', 1)"
+
+
+@query(f"""SELECT m, n_files, n_large, n_findings, dead_share, coupling, n_mutual, risk, CASE WHEN risk >= 50 THEN 'HIGH' WHEN risk >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM (SELECT *,
+    least(n_large * 2.0::DOUBLE, 15.0::DOUBLE) + least(n_findings * 0.5::DOUBLE, 25.0::DOUBLE) + least(dead_share * 40.0::DOUBLE, 25.0::DOUBLE) + least(coupling * 2.0::DOUBLE, 20.0::DOUBLE) + least(n_mutual * 1.0::DOUBLE, 15.0::DOUBLE) AS risk
+    FROM (SELECT coalesce(a.m, b.m, d.m) AS m, coalesce(n_files, 0) AS n_files, coalesce(n_large, 0) AS n_large, coalesce(n_findings, 0) AS n_findings, coalesce(dead_share, 0.0)::DOUBLE AS dead_share, coalesce(coupling, 0.0)::DOUBLE AS coupling, coalesce(n_mutual, 0) AS n_mutual
+    FROM (SELECT {_TOP} AS m, count(*) AS n_files, sum((size_bytes > 20000)::INTEGER)::BIGINT AS n_large, sum(coalesce(o.n, 0))::DOUBLE / count(*) AS coupling, count(u.src) AS n_mutual FROM {FILE} f LEFT JOIN (SELECT src, count(*) AS n FROM {EDGE} GROUP BY 1) o ON o.src = f.file_id
+        LEFT JOIN (SELECT DISTINCT x.src FROM {EDGE} x JOIN {EDGE} y ON y.src = x.dst AND y.dst = x.src) u ON u.src = f.file_id GROUP BY 1) a
+    FULL JOIN (SELECT split_part(path, '/', 1) AS m, count(*) AS n_findings FROM {_FINDING} GROUP BY 1) b ON a.m = b.m
+    FULL JOIN (SELECT {_TOP} AS m, count(*) FILTER (reason = 'candidate')::DOUBLE / count(*) AS dead_share FROM {_DEAD} GROUP BY 1) d ON d.m = coalesce(a.m, b.m)))""")
 def module_risk_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    sizes = files(spark, folder).groupBy(F.split("rel_path", "/")[0].alias("m")).agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("size_bytes") > 20000).alias("n_large"))
+    """Five inputs of each top directory, merged by full joins: size, findings, dead exports, links a file, and files that import each other."""
+    e = cut(edges(spark, folder))
+    out = e.groupBy(F.col("src").alias("file_id")).agg(F.count(F.lit(1)).alias("n_out"))
+    mutual = e.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"], "left_semi").select(F.col("src").alias("file_id")).distinct().withColumn("mutual", F.lit(True))
+    rows = files(spark, folder).join(out, "file_id", "left").join(mutual, "file_id", "left")
+    sizes = rows.groupBy(F.split("rel_path", "/")[0].alias("m")).agg(
+        F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("size_bytes") > 20000).alias("n_large"), (F.sum(F.coalesce("n_out", F.lit(0))).cast("double") / F.count(F.lit(1))).alias("coupling"), F.count("mutual").alias("n_mutual")
+    )
     counts = found(spark, folder).groupBy(F.split("path", "/")[0].alias("m")).agg(F.count(F.lit(1)).alias("n_findings"))
-    rows = sizes.join(counts, "m", "full_outer").fillna(0)
-    risk = capped(F.col("n_large"), 4, 40) + capped(F.col("n_findings"), 0.5, 60)
-    return rows.withColumn("risk", risk).withColumn("level", band(F.col("risk"), [(50, "HIGH"), (25, "MEDIUM")], "LOW"))
+    unused = dead(spark, folder).groupBy(F.split("rel_path", "/")[0].alias("m")).agg((F.count_if(F.col("reason") == "candidate").cast("double") / F.count(F.lit(1))).alias("dead_share"))
+    rows = sizes.join(counts, "m", "full_outer").join(unused, "m", "full_outer").fillna(0)
+    risk = capped(F.col("n_large"), 2, 15) + capped(F.col("n_findings"), 0.5, 25) + capped(F.col("dead_share"), 40, 25) + capped(F.col("coupling"), 2, 20) + capped(F.col("n_mutual"), 1, 15)
+    rows = rows.select("m", "n_files", "n_large", "n_findings", "dead_share", "coupling", "n_mutual", risk.alias("risk"))
+    return rows.withColumn("level", band(F.col("risk"), [(50, "HIGH"), (25, "MEDIUM")], "LOW"))
 
 
 @query(f"""SELECT project, greatest(0.0, least(100.0, 100 - p)) AS safety, CASE WHEN 100 - p < 40 THEN 'BLOCKED' WHEN 100 - p < 60 THEN 'CAUTION' ELSE 'OPEN' END AS gate
@@ -168,15 +206,6 @@ def temporal_diff(spark: SparkSession, folder: str) -> DataFrame:
 
 # Dead code and tests
 
-_DEAD = f"""(SELECT e.project_key, e.rel_path, e.name, CASE WHEN regexp_matches(e.rel_path, '(^|/)index\\.[jt]sx?$') THEN 'barrel' WHEN contains('/' || e.rel_path || '/', '/tests/') THEN 'test'
-        WHEN f.file_id IS NULL THEN 'unknown_file' WHEN n.file_id IS NOT NULL THEN 'namespace_import' WHEN u.name IS NOT NULL AND i.dst IS NOT NULL THEN 'consumed' ELSE 'candidate' END AS reason,
-        CASE WHEN i.dst IS NULL AND u.name IS NULL THEN 'HIGH' WHEN u.name IS NULL THEN 'MEDIUM' ELSE 'LOW' END AS confidence
-    FROM {EXPORT} e LEFT JOIN (SELECT project_key, rel_path, min(file_id) AS file_id FROM {FILE} GROUP BY 1, 2) f ON f.project_key = e.project_key AND f.rel_path = e.rel_path
-    LEFT JOIN (SELECT DISTINCT dst FROM {EDGE}) i ON i.dst = f.file_id
-    LEFT JOIN (SELECT DISTINCT target_file_id AS file_id FROM dependencies WHERE {KIND} = 'namespace' AND target_file_id IS NOT NULL) n ON n.file_id = f.file_id
-    LEFT JOIN (SELECT DISTINCT lower(split_part(regexp_replace(s, '^[./@]+', ''), '/', 1)) AS name FROM (SELECT unnest(from_json(json_extract(payload, '$.imports'), '["VARCHAR"]')) AS s FROM {PAYLOAD})) u ON u.name = lower(e.name))"""
-
-
 def dead(spark: SparkSession, folder: str) -> DataFrame:
     e, f = exports(spark, folder), files(spark, folder)
     place = f.groupBy("project_key", "rel_path").agg(F.min("file_id").alias("file_id"))
@@ -384,7 +413,7 @@ def freshness(spark: SparkSession, folder: str) -> DataFrame:
 _LEDGER = f"""WITH part AS (SELECT name, generation_id, string_agg(decode_part, '' ORDER BY part_index) AS whole FROM (SELECT DISTINCT name, generation_id, part_index, hex(payload) AS decode_part FROM state_payload_parts) GROUP BY 1, 2),
     entry AS (SELECT name, generation_id, moment, sha256(CASE WHEN mode = 'partitioned_json_v1' THEN unhex(p.whole) ELSE encode(payload) END) AS own, payload_sha AS kept FROM (SELECT DISTINCT name, generation_id,
         replace(replace(updated_at, 'T', ' '), 'Z', '')::TIMESTAMP AS moment, payload, payload_sha, coalesce(storage_mode, 'inline_json') AS mode FROM state_payloads) LEFT JOIN part p USING (name, generation_id)),
-    chain AS (SELECT *, sha256(coalesce(lag(kept) OVER w, '-') || '|' || kept) AS link, coalesce(own = kept, false) AS valid FROM entry WINDOW w AS (PARTITION BY name ORDER BY moment, generation_id))"""
+    chain AS (SELECT *, sha256(concat_ws('|', coalesce(lag(kept) OVER w, '-'), kept)) AS link, coalesce(own = kept, false) AS valid FROM entry WINDOW w AS (PARTITION BY name ORDER BY moment, generation_id))"""
 
 
 def _chain(spark: SparkSession, folder: str) -> DataFrame:
@@ -418,19 +447,40 @@ def ledger_signatures(spark: SparkSession, folder: str) -> DataFrame:
     return signed.select("name", "generation_id", "signature", (F.col("signature") == sign(F.col("link"))).alias("verified"))
 
 
+_SOURCE = r"""(SELECT record_id, language, text, regexp_replace(regexp_replace(text, '(?s)/[*].*?[*]/', ' ', 'g'), '(?m)//[^\n]*$', '', 'g') AS bare FROM (SELECT DISTINCT record_id, try(decode(content)) AS text,
+    CASE lower(regexp_extract(relative_path, '[.]([A-Za-z0-9]+)$', 1)) WHEN 'py' THEN 'python' WHEN 'pyi' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript' WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'mjs' THEN 'javascript'
+        WHEN 'cjs' THEN 'javascript' WHEN 'java' THEN 'java' WHEN 'go' THEN 'go' WHEN 'cs' THEN 'csharp' WHEN 'json' THEN 'json' WHEN 'css' THEN 'css' WHEN 'md' THEN 'markdown' WHEN 'sql' THEN 'sql' ELSE 'unknown' END AS language FROM source_records) WHERE text IS NOT NULL)"""
+_IMPORTED = rf"""SELECT record_id, language, unnest(CASE language
+    WHEN 'python' THEN list_filter(list_concat(regexp_extract_all(text, '(?m)^\s*from\s+([.\w]+)\s+import', 1), regexp_extract_all(text, '(?m)^\s*import\s+([.\w]+)', 1)), lambda x: x <> '')
+    WHEN 'typescript' THEN regexp_extract_all(text, '(?:from|import|require[(])\s*["'']([^"''\n]+)["'']', 1) WHEN 'javascript' THEN regexp_extract_all(text, '(?:from|import|require[(])\s*["'']([^"''\n]+)["'']', 1)
+    WHEN 'java' THEN regexp_extract_all(text, '(?m)^\s*import\s+(?:static\s+)?([\w.]+)', 1) WHEN 'csharp' THEN regexp_extract_all(text, '(?m)^\s*using\s+([\w.]+)\s*;', 1)
+    WHEN 'go' THEN regexp_extract_all(text, '(?m)^\s*(?:import\s+)?(?:\w+\s+)?"([^"\n]+)"', 1) END) AS import FROM {_SOURCE}"""
+_EXPORTED = rf"""SELECT DISTINCT record_id, name FROM (SELECT record_id, unnest(list_concat(regexp_extract_all(bare, '\bexport\s+(?:declare\s+)?(?:default\s+)?(?:async\s+)?(?:abstract\s+)?(?:const|let|var|function[*]?|class|interface|type|enum|namespace)\s+([A-Za-z_$][\w$]*)', 1),
+    list_concat(list_transform(flatten(list_transform(regexp_extract_all(bare, '\bexport\s+(?:type\s+)?[{{]([^{{}}]*)[}}]', 1), lambda x: string_split(x, ','))), lambda y: regexp_extract(y, '([A-Za-z_$][\w$]*)\s*$', 1)),
+    regexp_extract_all(bare, '\bexport\s+[*]\s+as\s+([A-Za-z_$][\w$]*)', 1)))) AS name FROM {_SOURCE} WHERE language = 'typescript') WHERE name <> ''"""
+_SCRIPT_NAMES = r"regexp_extract_all(bare, '(?m)^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+|async\s+)*(?:class|interface|type|enum|function[*]?|const|let|var)\s+([A-Za-z_$][\w$]*)', 1)"
+_DECLARED = rf"""SELECT record_id, language, names[i] AS name, (i - 1)::INTEGER AS ordinal FROM (SELECT *, unnest(range(1, len(names) + 1)) AS i FROM (SELECT record_id, language, CASE language WHEN 'python' THEN regexp_extract_all(text, '(?m)^\s*(?:async\s+)?(?:def|class)\s+(\w+)', 1)
+    WHEN 'java' THEN regexp_extract_all(bare, '(?m)^\s*(?:public|protected|private|static|final|abstract|\s)*\b(?:class|interface|enum|record)\s+(\w+)', 1)
+    WHEN 'csharp' THEN regexp_extract_all(bare, '(?m)^\s*(?:public|protected|private|internal|static|sealed|abstract|partial|\s)*\b(?:class|interface|enum|struct|record)\s+(\w+)', 1)
+    WHEN 'go' THEN regexp_extract_all(bare, '(?m)^\s*(?:func\s+(?:[(][^)]*[)]\s*)?|type\s+)(\w+)', 1) WHEN 'typescript' THEN {_SCRIPT_NAMES} WHEN 'javascript' THEN {_SCRIPT_NAMES} END AS names FROM {_SOURCE}))"""
+_OCCURRENCE = rf"""SELECT record_id, len(regexp_extract_all(bare, '\b(?:if|for|while|return|await|async|yield|match|switch|try)\b'))::INTEGER AS density,
+    greatest(0, 100 - 10 * len(regexp_extract_all(bare, '\b(?:global|window|document|process[.]env|os[.]environ|print|console[.]log)\b')))::INTEGER AS decoupling,
+    md5(regexp_replace(regexp_replace(bare, '[A-Za-z_][A-Za-z0-9_]*', 'w', 'g'), '\s+', ' ', 'g')) AS dna FROM {_SOURCE}"""
+
+
 @query()
 def python_symbol_scan(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "source_records").where(F.lower("relative_path").rlike(r"\.pyi?$"))
     return scans.python_symbols(rows.select("record_id", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).distinct())
 
 
-@query()
+@query(_IMPORTED)
 def source_imports(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "source_records").select("record_id", F.try_validate_utf8(F.col("content").cast("string")).alias("text"), paths.language_of(F.col("relative_path")).alias("language")).distinct()
     return rows.select("record_id", "language", F.explode(scans.import_strings(F.col("text"), F.col("language"))).alias("import"))
 
 
-@query()
+@query(_EXPORTED)
 def source_exports(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "source_records").where(F.lower("relative_path").rlike(r"\.tsx?$")).select("record_id", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).distinct()
     return rows.select("record_id", F.explode(scans.named_exports(F.col("text"))).alias("name"))
@@ -477,7 +527,7 @@ def state_invalidation(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""SELECT dep_id, arg_min(f.file_id, (f.project_key <> d.project_key, f.project_key, f.file_id)) AS candidate, CASE WHEN bool_or(f.project_key = d.project_key) THEN 'own' ELSE 'other' END AS place, count(*) AS n_candidates
     FROM (SELECT DISTINCT dep_id, project_key, lower(regexp_extract(regexp_replace(import_specifier, '(/index)?(\\.[a-z]+)?$', ''), '[^/]*$')) AS stem FROM dependencies
         WHERE target_file_id IS NOT NULL AND target_file_id NOT IN (SELECT file_id FROM files) AND project_key IS NOT NULL AND import_specifier IS NOT NULL) d
-    JOIN (SELECT file_id, project_key, {_STEM} AS stem FROM {FILE}) f ON f.stem = d.stem WHERE d.stem NOT IN ('', 'index') GROUP BY dep_id""")
+    JOIN (SELECT file_id, project_key, {_STEM} AS stem FROM {FILE}) f ON f.stem = d.stem WHERE d.stem <> '' GROUP BY dep_id""")
 def recovery_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Files by which links to missing ones may be mended: of the same name in the project, else in another.
 
@@ -487,7 +537,7 @@ def recovery_candidates(spark: SparkSession, folder: str) -> DataFrame:
     known = table(spark, folder, "files").select(F.col("file_id").alias("target_file_id")).distinct()
     name = F.lower(paths.basename(F.regexp_replace("import_specifier", r"(/index)?(\.[a-z]+)?$", "")))
     broken = table(spark, folder, "dependencies").where("target_file_id is not null and project_key is not null and import_specifier is not null").join(known, "target_file_id", "left_anti")
-    broken = broken.select("dep_id", "project_key", name.alias("stem")).where("stem <> '' and stem <> 'index'").distinct()
+    broken = broken.select("dep_id", "project_key", name.alias("stem")).where("stem <> ''").distinct()
     f = files(spark, folder).select("file_id", "project_key", F.lower(paths.stem(F.col("rel_path"))).alias("stem"))
     own = f.groupBy("stem", "project_key").agg(F.min("file_id").alias("own_file"))
     every = f.groupBy("stem").agg(F.count(F.lit(1)).alias("n_candidates"), F.min_by("file_id", F.struct("project_key", "file_id")).alias("other_file"))
@@ -664,7 +714,7 @@ def directory_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
+@query(_OCCURRENCE)
 def occurrence_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Density, decoupling and a digest of the structure of each source text."""
     rows = table(spark, folder, "source_records").select("record_id", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).where("text is not null").distinct()
@@ -675,7 +725,7 @@ def occurrence_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("record_id", hits.alias("density"), F.greatest(F.lit(0), 100 - leaks * 10).alias("decoupling"), shape.alias("dna"))
 
 
-@query()
+@query(_DECLARED)
 def polyglot_symbols(spark: SparkSession, folder: str) -> DataFrame:
     """Declarations by the form of each language, without parsing."""
     rows = table(spark, folder, "source_records").select(

@@ -200,6 +200,12 @@ ORACLE = {
     "blast_radius_top": f"{_BLAST} ORDER BY score DESC, node LIMIT 50",
     "graph_module_components": f"""{_CLOSURE} SELECT a.origin AS node, greatest(a.origin, max(a.node)) AS component FROM pair a
         JOIN pair b ON b.origin = a.node AND b.node = a.origin WHERE a.origin <> a.node GROUP BY a.origin""",
+    "graph_witness": f"""{_CLOSURE}, comp AS (SELECT a.origin AS node, greatest(a.origin, max(a.node)) AS component FROM pair a JOIN pair b ON b.origin = a.node AND b.node = a.origin WHERE a.origin <> a.node GROUP BY a.origin),
+        head AS (SELECT component, min(node) AS head FROM comp GROUP BY 1), inner_edge AS (SELECT e.src, e.dst FROM edge e JOIN comp a ON a.node = e.src JOIN comp b ON b.node = e.dst AND b.component = a.component),
+        two AS (SELECT h.component, [h.head, a.dst] AS way FROM head h JOIN inner_edge a ON a.src = h.head JOIN inner_edge b ON b.src = a.dst AND b.dst = h.head),
+        three AS (SELECT h.component, [h.head, a.dst, b.dst] AS way FROM head h JOIN inner_edge a ON a.src = h.head JOIN inner_edge b ON b.src = a.dst JOIN inner_edge c ON c.src = b.dst AND c.dst = h.head WHERE b.dst <> h.head),
+        four AS (SELECT h.component, [h.head, a.dst, b.dst, c.dst] AS way FROM head h JOIN inner_edge a ON a.src = h.head JOIN inner_edge b ON b.src = a.dst JOIN inner_edge c ON c.src = b.dst JOIN inner_edge d ON d.src = c.dst AND d.dst = h.head WHERE b.dst <> h.head AND c.dst <> h.head)
+        SELECT component, min(len(way))::INTEGER AS length, array_to_string(arg_min(way, (len(way), way)), ' > ') AS witness FROM (SELECT * FROM two UNION ALL SELECT * FROM three UNION ALL SELECT * FROM four) GROUP BY 1""",
     "graph_file_components": f"""WITH RECURSIVE edge AS {EDGE}, pair(origin, node) AS (SELECT src, dst FROM edge UNION SELECT pair.origin, edge.dst FROM pair JOIN edge ON edge.src = pair.node)
         SELECT a.origin AS node, max(a.node) AS component FROM pair a JOIN pair b ON b.origin = a.node AND b.node = a.origin GROUP BY a.origin HAVING count(*) > 1""",
     "graph_cycles": f"""{_CYCLES} SELECT array_to_string(path, '>') AS chain, len(path)::INTEGER AS length, CASE WHEN len(path) = 2 THEN 'mutual' WHEN len(path) > 4 THEN 'long' ELSE 'other' END AS class,

@@ -365,10 +365,12 @@ def window_rolling(spark: SparkSession, folder: str) -> DataFrame:
 @query("""SELECT doc_id, line_no, line FROM (SELECT doc_id, line_no, line, max((contains(line, 'gate'))::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM
     (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INTEGER - 1 AS line_no FROM documents WHERE text IS NOT NULL)) WHERE near = 1""")
 def window_line_context(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines within two of a line that speaks of a gate."""
-    lines = table(spark, folder, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    near = F.max(F.contains("line", F.lit("gate")).cast("int")).over(Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(-2, 2))
-    return lines.withColumn("near", near).where("near = 1").select("doc_id", "line_no", "line")
+    """Lines within two of a line that speaks of a gate; a text's lines stay in its row, so that nothing is exchanged."""
+    rows = table(spark, folder, "documents").where("text is not null").select("doc_id", F.split("text", "\n").alias("lines"))
+    first = lambda k: F.greatest(k - 2, F.lit(1))
+    near = lambda k: F.exists(F.slice("lines", first(k), k + 2 - first(k) + 1), lambda x: F.contains(x, F.lit("gate")))
+    kept = F.explode(F.filter(F.sequence(F.lit(1), F.size("lines")), near)).alias("k")
+    return rows.select("doc_id", "lines", kept).select("doc_id", (F.col("k") - 1).alias("line_no"), F.element_at("lines", F.col("k")).alias("line"))
 
 
 @query("SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 10")

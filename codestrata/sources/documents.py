@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,23 @@ def read_document(spark: SparkSession, path: str, schema: StructType | str, defa
     return spark.read.schema(schema).option("multiLine", "true").json(path)
 
 
+def write_document(spark: SparkSession, path: str, text: str) -> None:
+    """Puts one document in place of what is there, at once: it is written beside it first, and then renamed."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    conf = spark._jsc.hadoopConfiguration()
+    system = place.getFileSystem(conf)
+    out = system.create(beside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    overwrite = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.valueOf("OVERWRITE")
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), conf).rename(system.makeQualified(beside), system.makeQualified(place), overwrite)
+
+
 def read_evidence(spark: SparkSession, folder: str, kinds: Mapping[str, str]) -> DataFrame:
     """kind, name, content of the JSON files of a folder; kinds: kind to a part of the file name.
 

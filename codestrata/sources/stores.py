@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.operators.relational import upsert
+from codestrata.sources.documents import write_document
 
 
 def canonical(row: Column | str) -> Column:
-    """A struct or map as JSON, null fields left out; the digest of equal values is equal."""
-    return F.to_json(row, {"ignoreNullFields": "true"})
+    """A struct or map as JSON with its keys in order, null fields left out; equal values have equal digests."""
+    return F.to_json(F.parse_json(F.to_json(row, {"ignoreNullFields": "true"})))
 
 
 def in_parts(documents: DataFrame, size: int) -> DataFrame:
@@ -40,6 +41,19 @@ def upsert_parquet(spark: SparkSession, folder: str, version: int, new: DataFram
     return spark.read.parquet(target)
 
 
+def rebuild(df: DataFrame, folder: str, version: int) -> DataFrame:
+    """Writes the whole table as a version of its own, then points to it; readers see the old one until then."""
+    df.write.mode("overwrite").parquet(f"{folder}/version={version}")
+    write_document(df.sparkSession, f"{folder}/current.json", f'{{"version":{int(version)}}}')
+    return current(df.sparkSession, folder)
+
+
+def current(spark: SparkSession, folder: str) -> DataFrame:
+    """The version that ``rebuild`` wrote last."""
+    version = spark.read.schema("version long").json(f"{folder}/current.json").first()["version"]
+    return spark.read.parquet(f"{folder}/version={version}")
+
+
 def rebuild_scopes(df: DataFrame, folder: str, scope: str) -> None:
     """Replaces the partitions of the scopes that df holds, and leaves all others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(scope).parquet(folder)

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from codestrata.session import ensure_checkpoint_dir
@@ -156,3 +157,9 @@ def run_to_end(stream: DataFrame, sink: Callable[[DataFrame, int], None], name:
     query.awaitTermination()
     if query.exception():
         raise query.exception()
+
+
+def pulsed(stream: DataFrame, sink: Callable[[DataFrame, int], None], name: str, interval: str = "1.5 seconds", mode: str = "append") -> StreamingQuery:
+    """Runs until it is stopped, one pulse at a time: what arrives while the sink is busy waits, and is the next pulse as a whole."""
+    place = os.path.join(ensure_checkpoint_dir(stream.sparkSession), "streams", name)
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", place).trigger(processingTime=interval).foreachBatch(sink).start()

@@ -1,10 +1,11 @@
+import json
 import sqlite3
 
 import pytest
 
 from codestrata.plans import reports
 from codestrata.plans.steps import Plan, Step
-from codestrata.sources import stores, trees
+from codestrata.sources import documents, stores, trees
 
 
 def test_tree_owner_and_changes(spark, tmp_path):
@@ -83,3 +84,25 @@ def test_documents(spark, tmp_path):
     assert documents.read_document(spark, str(tmp_path / "bundle-1.json"), schema).collect()[0].n == 2
     got = {(r.kind, r.name, r.ok) for r in documents.read_evidence(spark, str(tmp_path), {"bundle": "bundle", "profile": "profile"}).selectExpr("kind", "name", "content is not null ok").collect()}
     assert got == {("bundle", "bundle-1.json", True), ("profile", "profile.json", False)}
+
+
+def test_documents_are_put_in_place_at_once(spark, tmp_path):
+    path = f"{tmp_path}/a.json"
+    for n in (1, 2):
+        documents.write_document(spark, path, json.dumps({"n": n, "t": "größer"}))
+        row = documents.read_document(spark, path, "n long, t string").first()
+        assert (row.n, row.t) == (n, "größer")
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["a.json"]
+
+
+def test_rebuild_points_to_the_last_version(spark, tmp_path):
+    folder = str(tmp_path)
+    assert stores.rebuild(spark.range(3), folder, 1).count() == 3
+    spark.range(9).write.parquet(f"{folder}/version=2")  # written, and not yet pointed to
+    assert stores.current(spark, folder).count() == 3
+    assert stores.rebuild(spark.range(5), folder, 2).count() == 5
+
+
+def test_canonical_orders_keys(spark):
+    row = spark.sql("SELECT named_struct('b', 1, 'a', named_struct('z', 2, 'c', CAST(null AS int))) AS x, map('q', 1, 'a', 2) AS m").select(stores.canonical("x").alias("x"), stores.canonical("m").alias("m")).first()
+    assert (row.x, row.m) == ('{"a":{"z":2},"b":1}', '{"a":2,"q":1}')

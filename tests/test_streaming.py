@@ -1,5 +1,6 @@
 import json
 import os
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -63,3 +64,26 @@ def test_global_timer_counts_paths(spark):
     events = spark.createDataFrame([(AT(0), "a", "modify", None), (AT(1), "b", "modify", None), (AT(9), "c", "delete", None)], changes.EVENT_SCHEMA)
     got = sorted((r.n_paths, r.n_events) for r in changes.coalesced(events, keyed=False).select(F.col("n_paths"), F.col("n_events")).collect())
     assert got == [(1, 1), (2, 2)]
+
+
+def test_what_arrives_while_a_pulse_runs_is_the_next_one(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "a.json").write_text('{"path": "one"}')
+    seen = []
+
+    def sink(batch, pulse):
+        if not seen:
+            for n in (2, 3):
+                (inbox / f"b{n}.json").write_text(f'{{"path": "p{n}"}}')
+        seen.append(sorted(r.path for r in batch.collect()))
+
+    query = changes.pulsed(changes.file_events(spark, str(inbox)), sink, f"busy-{tmp_path.name}", "0 seconds")
+    try:
+        for _ in range(200):
+            if len(seen) > 1:
+                break
+            time.sleep(0.1)
+    finally:
+        query.stop()
+    assert seen[:2] == [["one"], ["p2", "p3"]]
