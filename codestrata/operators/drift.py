@@ -190,6 +190,7 @@ def _walked(long: DataFrame) -> DataFrame:
     typed = F.when(F.col("kind").isNotNull(), F.struct("run", "kind"))
     rows = rows.withColumn("known", F.last(typed, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.withColumn("known", F.when(F.col("known.run") == F.col("run"), F.col("known.kind")))
+    rows = cut(rows)  # read for what crosses borders, and for itself
     # What is known at the end of a stretch: a type, that nothing is (a run that began in it), or what was before.
     ends = rows.where((F.col("own") == F.col("block")) & (F.col("seq") % BLOCK_SEQ == BLOCK_SEQ - 1)).select(
         "name", "path", "block",
@@ -198,32 +199,30 @@ def _walked(long: DataFrame) -> DataFrame:
     blocks = Window.partitionBy("name", "path").orderBy("block")
     ends = ends.withColumn("gap", F.col("block") - F.row_number().over(blocks))  # stretches that follow each other
     carried = ends.select(
-        F.col("name").alias("c_name"), F.col("path").alias("c_path"), (F.col("block") + 1).alias("c_block"),
+        "name", "path", (F.col("block") + 1).alias("block"),
         F.last("at_end", ignorenulls=True).over(Window.partitionBy("name", "path", "gap").orderBy("block")).alias("carried"),
     )
     carried = carried.where("carried <> ''")
     rows = rows.where(F.col("own") == F.col("block"))
     early = F.col("known").isNull() & F.col("start").isNull() & (F.col("run") < F.col("own") * BLOCK_SEQ)  # the run comes from before
-    joined = rows.join(
-        carried, F.col("name").eqNullSafe(F.col("c_name")) & (F.col("path") == F.col("c_path")) & (F.col("own") == F.col("c_block")), "left"
-    )
-    return joined.withColumn("known", F.when(early, F.col("carried")).otherwise(F.col("known"))).drop("c_name", "c_path", "c_block", "carried", "own", "block", "run")
+    joined = rows.join(carried, ["name", "path", "block"], "left")
+    return joined.withColumn("known", F.when(early, F.col("carried")).otherwise(F.col("known"))).drop("carried", "own", "block", "run")
 
 
 def changes(maps: DataFrame) -> DataFrame:
     """name, generation_id, change_kind, old_field, new_field of each payload against the one before."""
     # Parsing is the larger part of the work; numbered as they lie in the checkpoint.
-    maps = cut(maps.where("fields is not null")).withColumn("row", F.monotonically_increasing_id())
+    key = F.coalesce(F.concat(F.lit("="), "name"), F.lit(""))  # no nulls, so that joins keep the partitions of windows
+    maps = cut(maps.where("fields is not null").withColumn("name", key)).withColumn("row", F.monotonically_increasing_id())
     index = cut(numbered(maps.select("name", "generation_id", "at", "row")).select("row", "name", "generation_id", "seq", "last_seq"))
     drifting = cut(drifting_paths(maps))
     small = F.broadcast if drifting.limit(MOST_DRIFTING + 1).count() <= MOST_DRIFTING else lambda df: df
-    drifting = drifting.select(F.col("name").alias("d_name"), F.col("path").alias("d_path"))
     digest = F.when(F.length("f.value") > SHORT_VALUE, F.concat(F.lit("#"), F.md5("f.value"))).otherwise(F.col("f.value"))
     long = maps.select("row", "name", F.explode("fields").alias("f")).select(
         "row", "name", "f.path", "f.kind", digest.alias("value"),
         (F.col("f.kind").eqNullSafe("object") & F.col("f.value").isNull()).alias("holder"),  # an object with fields inside
     )
-    long = long.join(small(drifting), F.col("name").eqNullSafe(F.col("d_name")) & (F.col("path") == F.col("d_path")), "left_semi")
+    long = long.join(small(drifting), ["name", "path"], "left_semi")
     walk = _walked(long.drop("name").join(index.select("row", "name", "seq", "last_seq"), "row").drop("row"))
     turned = (F.col("kind") != F.col("known")) & F.col("start").isNull()
     unknown = F.concat(F.lit("\u0000"), F.col("path"))  # no value is equal to an unknown one
@@ -246,13 +245,9 @@ def changes(maps: DataFrame) -> DataFrame:
     found = cut(found)  # few rows, read three times
     retyped = found.where("event = 'retyped'")
     # What lies inside a field that turned into an object (or back) is no change of its own.
-    shells = retyped.where("holder or held").select(
-        F.col("name").alias("s_name"), F.col("at_seq").alias("s_seq"), F.concat("path", F.lit(".")).alias("s_path")
-    )
+    shells = retyped.where("holder or held").select(F.col("name").alias("s_name"), F.col("at_seq").alias("s_seq"), F.concat("path", F.lit(".")).alias("s_path"))
     moved = found.where("event <> 'retyped'").join(
-        shells,
-        F.col("name").eqNullSafe(F.col("s_name")) & (F.col("at_seq") == F.col("s_seq")) & F.col("path").startswith(F.col("s_path")),
-        "left_anti",
+        shells, (F.col("name") == F.col("s_name")) & (F.col("at_seq") == F.col("s_seq")) & F.col("path").startswith(F.col("s_path")), "left_anti"
     )
     pairing = Window.partitionBy("name", "at_seq", "value", "event").orderBy("path")
     paired = (
@@ -272,10 +267,9 @@ def changes(maps: DataFrame) -> DataFrame:
     every = paired.unionByName(
         retyped.select("name", "at_seq", F.lit("retyped").alias("change_kind"), F.col("path").alias("old_field"), F.col("path").alias("new_field"))
     )
-    index = index.select(F.col("name").alias("i_name"), F.col("seq").alias("i_seq"), "generation_id")
-    return every.join(
-        index, F.col("name").eqNullSafe(F.col("i_name")) & (F.col("at_seq") == F.col("i_seq"))
-    ).select("name", "generation_id", "change_kind", "old_field", "new_field")
+    index = index.select("name", F.col("seq").alias("at_seq"), "generation_id")
+    name = F.when(F.col("name") != "", F.substr("name", F.lit(2))).alias("name")
+    return every.join(index, ["name", "at_seq"]).select(name, "generation_id", "change_kind", "old_field", "new_field")
 
 
 def column_types(maps: DataFrame) -> DataFrame:
@@ -312,13 +306,19 @@ def typed_table(maps: DataFrame) -> DataFrame:
 
 
 def wide_table(maps: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """name, generation_id, at and one column a path; columns: path to ``text``, ``number``, ``boolean`` or ``list``."""
+    """name, generation_id, at, one column a path, and n_failed_casts; columns: path to ``text``, ``number``, ``boolean`` or ``list``.
+
+    A dot in a path is ``__`` in the name of its column; the three columns before them keep their names.
+    """
     spark_type = {"number": "double", "boolean": "boolean"}
     lookup = F.map_from_entries(F.transform("fields", lambda f: F.struct(f["path"], f["value"])))
     out = maps.withColumn("_m", lookup)
-    cells = []
+    cells, failed = [], F.lit(0)
     for path, kind in columns.items():
         raw = F.try_element_at("_m", F.lit(path))
         text = F.when(raw.startswith('"'), F.from_json(F.concat(F.lit('{"v":'), raw, F.lit("}")), "v string")["v"]).otherwise(raw)
-        cells.append((text.try_cast(spark_type[kind]) if kind in spark_type else text).alias(path))
-    return out.select("name", "generation_id", "at", *cells)
+        cell = text.try_cast(spark_type[kind]) if kind in spark_type else text
+        failed = failed + (raw.isNotNull() & cell.isNull()).cast("int")
+        name = path.replace(".", "__")
+        cells.append(cell.alias(name if name not in ("name", "generation_id", "at", "n_failed_casts") else f"{name}__"))
+    return out.select("name", "generation_id", "at", *cells, failed.alias("n_failed_casts"))
