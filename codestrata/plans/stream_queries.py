@@ -19,11 +19,12 @@ def _stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _collected(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """The result of a stream as a table in the shared folder."""
+    """The result of a stream as a table in the shared folder: the last batch, or all of them if they are appended."""
     name = f"q-{uuid.uuid4().hex}"
     out = os.path.join(ensure_checkpoint_dir(spark), "results", name)
-    changes.run_to_end(stream, lambda batch, n: batch.write.mode("overwrite").parquet(out), name, mode)
-    return spark.read.schema(stream.schema).parquet(out)
+    place = (lambda n: f"{out}/batch={n}") if mode == "append" else lambda n: out
+    changes.run_to_end(stream, lambda batch, n: batch.write.mode("overwrite").parquet(place(n)), name, mode)
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
 def stream_running_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,9 +32,9 @@ def stream_running_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    """Bursts of each user, as ``coalesced_sessions`` finds them in one go."""
+    """Bursts of each user that the watermark has closed; their state goes with them, and what is open stays in it."""
     events = _stream(spark, folder).select("ts", F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("kind"), F.lit(None).cast("string").alias("related_path"))
-    out = _collected(spark, changes.coalesced(events, "30 minutes", "1 hour"), "complete")
+    out = _collected(spark, changes.coalesced(events, "30 minutes", "1 hour"), "append")
     return out.select("path", "n_events", F.date_format("first_at", "yyyy-MM-dd HH:mm:ss").alias("first_at"))
 
 
@@ -54,7 +55,7 @@ QUERIES = {f.__name__: f for f in (stream_running_counts, stream_sessions, strea
 ORACLE = {
     "stream_running_counts": "SELECT event_type, count(*) AS n_hits FROM events GROUP BY 1",
     "stream_sessions": """SELECT user_id::VARCHAR AS path, count(*) AS n_events, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_at FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
-        FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""",
+        FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
     "stream_identity": """SELECT CASE WHEN e.event_type = 'error' THEN CASE WHEN c.c_custkey IS NULL THEN 'transient' ELSE 'tombstone' END WHEN c.c_custkey IS NULL THEN 'unknown' WHEN c.c_acctbal > 0 THEN 'unchanged' ELSE 'verified' END AS state,
         count(*) AS n FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id GROUP BY 1""",
     "stream_proof_debt": """SELECT user_id::VARCHAR AS project, count(*) FILTER (event_type <> 'signup' AND (proof IS NULL OR (ts, k) > (proof))) AS n_changes,
