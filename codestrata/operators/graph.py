@@ -139,10 +139,12 @@ def propagate_names(marked: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def trim(edges: DataFrame, rounds: int = 4) -> DataFrame:
-    """Edges between nodes that have edges in and out; what goes can't be on a cycle."""
+    """Edges between nodes that have edges in and out; what goes can't be on a cycle. Each round reads the one before three times, so it is cut."""
     for _ in range(rounds):
-        edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
-            edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"
+        edges = cut(
+            edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+            .join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+            .select("src", "dst")
         )
     return edges
 
