@@ -96,6 +96,123 @@ def reach_by_hub(edges: DataFrame, origins: DataFrame) -> tuple[DataFrame, DataF
     return up, down, pairs_of(away, up).unionByName(pairs_of(edges, origins.select("node").join(up, "node", "left_anti")))
 
 
+def aligned(df: DataFrame, key: str) -> DataFrame:
+    """Cut, by partitions of key and in its order, and known to be: a plan that adapts doesn't say how it lies, so this one doesn't.
+
+    Joins by key then leave it where it is, so that a loop exchanges no more than its frontier.
+    """
+    conf = df.sparkSession.conf
+    was = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(key).sortWithinPartitions(key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", was)
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """node, outs, ins: one row a node with a link to another one; edges are distinct."""
+    ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("out"), F.lit(None).alias("in")), F.struct(F.col("dst").alias("node"), F.lit(None).alias("out"), F.col("src").alias("in"))))
+    rows = edges.where("src <> dst").select(ends.alias("e")).select("e.*").repartition("node")
+    return aligned(rows.groupBy("node").agg(F.collect_list("out").alias("outs"), F.collect_list("in").alias("ins")), "node")
+
+
+def weak_components(near: DataFrame) -> DataFrame:
+    """node, part: the components of an adjacency, whatever the direction of its links.
+
+    Every node points to its smallest neighbour, if that is smaller; chains of pointers are halved until they
+    end, and the links between different ends are the graph of the next round, where no end is alone.
+    """
+    linked = F.explode("outs").alias("b")
+    points = near.select("node", F.array_min(F.concat("outs", "ins", F.array("node"))).alias("part"))
+    links = near.select(F.col("node").alias("a"), linked)
+    whole = None
+    while True:
+        points = cut(points)
+        while True:  # each round reads what the one before has written
+            ahead = points.select(F.col("node").alias("part"), F.col("part").alias("next"))
+            points = cut(points.join(ahead, "part").select("node", F.col("next").alias("part"), (F.col("next") < F.col("part")).alias("moved")))
+            moving = not points.where("moved").isEmpty()
+            points = points.select("node", "part")
+            if not moving:
+                break
+        ends = points.select(F.col("node").alias("a"), F.col("part").alias("x"))
+        links = links.join(ends, "a").select("x", "b").join(ends.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
+        links = cut(links.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        whole = points if whole is None else whole.join(points.select(F.col("node").alias("part"), F.col("part").alias("next")), "part", "left").select("node", F.coalesce("next", "part").alias("part"))
+        if links.isEmpty():
+            return whole
+        both = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near"))))
+        points = links.select(both.alias("e")).groupBy("e.node").agg(F.min("e.near").alias("near")).select("node", F.least("node", "near").alias("part"))
+
+
+def _flood(near: DataFrame, hubs: DataFrame, way: str) -> DataFrame:
+    """node, part: what hubs(node, part) lead to by one way of the adjacency, themselves with it."""
+    seen = frontier = aligned(hubs, "node")
+    while True:
+        found = frontier.join(near, "node").select(F.explode(way).alias("node"), "part").repartition("node").distinct()
+        frontier = aligned(found.join(seen, "node", "left_anti"), "node")
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+
+
+ROOM = 1_000_000  # pairs that are listed at least before the graph is split once more
+
+
+def reach_by_hubs(near: DataFrame, origins: DataFrame, splits: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(origins that reach a hub, nodes that it reaches, all other pairs), as node, split, part twice and origin, node.
+
+    An origin reaches a node if both have a split and a part in common, or if the third has the pair: one of
+    them, and once. Every weak component has its hub, so that large components aren't listed, however many
+    there are. If what the hubs leave is more than ROOM and the links, it is split again at hubs of its own
+    (what goes round the hub, and what doesn't reach it, are graphs of their own), as long as a split saves
+    more pairs than it reads links; so large components in a row aren't listed either. Exact for any hubs.
+
+    near: an ``adjacency``.
+    """
+    score = F.struct((F.size("outs").cast("long") * F.size("ins")).alias("n"), "node")
+    hubs = near.join(weak_components(near), "node").groupBy("part").agg(F.max(score)["node"].alias("node")).select("node", F.col("node").alias("part"))
+    hubs = cut(hubs)
+    origins = cut(origins.select("node").distinct())
+    down, above = _flood(near, hubs, "outs"), _flood(near, hubs, "ins")
+    up = cut(above.join(origins, "node", "left_semi"))
+    n_links = near.agg(F.sum(F.size("outs").cast("long"))).first()[0] or 0
+    sizes = up.groupBy("part").agg(F.count(F.lit(1)).alias("n")).join(down.groupBy("part").agg(F.count(F.lit(1)).alias("m")), "part")
+    saved = sizes.agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0
+    most = max(ROOM, n_links) if saved > n_links else None
+    tag = F.lit(splits).alias("split")
+    own_up, own_down = up.select("node", tag, "part"), down.select("node", tag, "part")
+    starts = origins.join(up.select("node", F.lit(True).alias("is_up")), "node", "left").select(F.col("node").alias("origin"), "node", F.coalesce("is_up", F.lit(False)).alias("is_up"))
+    rest = _rest_pairs(near, starts, down.select("node", F.lit(True).alias("is_down")), most)
+    if rest is not None:
+        return own_up, own_down, rest
+    for inside, some in ((down, up), (above, origins.join(up, "node", "left_anti"))):
+        links = near.join(inside, "node", "left_anti").select(F.col("node").alias("src"), F.explode("outs").alias("dst"))
+        more = reach_by_hubs(adjacency(links.join(inside.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")), some, 2 * splits + (1 if inside is down else 2))
+        own_up, own_down = own_up.unionByName(more[0]), own_down.unionByName(more[1])
+        rest = more[2] if rest is None else rest.unionByName(more[2])
+    return own_up, own_down, rest
+
+
+def _rest_pairs(near: DataFrame, starts: DataFrame, down: DataFrame, most: int | None) -> DataFrame | None:
+    """origin, node of all pairs but those of an origin that is up and a node that is down; None if they are more than most."""
+    pairs = frontier = cut(starts)
+    n, depth = 0, 0
+    while True:
+        depth += 1
+        step = frontier.join(near, "node").select("origin", F.explode("outs").alias("node"), "is_up").repartition("node").distinct()
+        step = step.join(down, "node", "left").where("not is_up or is_down is null").select("origin", "node", "is_up")
+        frontier = cut(step.join(pairs, ["origin", "node"], "left_anti"))
+        found = frontier.count()
+        if not found:
+            return pairs.where("origin <> node").select("origin", "node")
+        n += found
+        if most is not None and n > most:
+            return None
+        pairs = cut(pairs.unionByName(frontier)) if depth % 16 == 0 else pairs.unionByName(frontier)
+
+
 def reach_counts(edges: DataFrame, origins: DataFrame) -> DataFrame:
     """node, n: how many others each of origins(node) reaches. Those that reach the hub are counted with it."""
     up, down, rest = reach_by_hub(edges, origins)

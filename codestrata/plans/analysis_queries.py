@@ -257,24 +257,27 @@ def _tests_and_sources(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
 def test_counts(spark: SparkSession, folder: str) -> DataFrame:
     """target, n_tests, confidence, n_direct: the tests that reach a file by imports, over any number of files, or have its name.
 
-    Tests that reach the hub of the graph are counted once for all that it reaches; only other pairs are listed.
+    Tests that reach the hub of a component are counted once for all that it reaches, tests of a name once for all
+    files of it; those that are both are taken off. Only other pairs are listed.
     """
-    t, s = _tests_and_sources(spark, folder)
-    e = cut(edges(spark, folder))
-    up, down, rest = graph.reach_by_hub(e, t.select(F.col("test").alias("node")))
-    n_hub = up.count()
-    t = t.join(up.select(F.col("node").alias("test"), F.lit(True).alias("up")), "test", "left")
-    s = s.join(down.select(F.col("node").alias("target"), F.lit(True).alias("down")), "target", "left")
-    keys = ["project_key", "stem"]
-    by_name = t.where("up is null").join(s, keys).select("test", "target").unionByName(t.where("up").join(s.where("down is null"), keys).select("test", "target"))
-    rest = rest.select(F.col("origin").alias("test"), F.col("node").alias("target"))
-    others = rest.unionByName(by_name).distinct().groupBy("target").agg(F.count(F.lit(1)).alias("n_others"))
-    direct = e.join(t.select(F.col("test").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("target")).agg(F.count(F.lit(1)).alias("n_direct"))
-    names = t.select(*keys).distinct().withColumn("naming", F.lit(True))
-    rows = s.join(others, "target", "left").join(direct, "target", "left").join(names, keys, "left").fillna(0, ["n_others", "n_direct"])
-    n_tests = F.when(F.col("down"), F.lit(n_hub).cast("long")).otherwise(0) + F.col("n_others")
+    t, s = (cut(df) for df in _tests_and_sources(spark, folder))
+    keys, place = ["project_key", "stem"], ["split", "part"]
+    near = graph.adjacency(edges(spark, folder))
+    up, down, rest = graph.reach_by_hubs(near, t.select(F.col("test").alias("node")))
+    up, down = up.withColumnRenamed("node", "test"), down.withColumnRenamed("node", "target")
+    count = lambda name: F.count(F.lit(1)).alias(name)
+    alike = up.join(t.join(s, keys, "left_semi"), "test").groupBy(*place, *keys).agg(count("n_alike"))
+    inside = s.join(down, "target").join(up.groupBy(*place).agg(count("n_up")), place).join(alike, [*place, *keys], "left")
+    named = s.join(t.groupBy(*keys).agg(count("n_named")), keys)
+    own = t.select(F.col("test").alias("origin"), F.struct(*keys).alias("own"))
+    others = rest.join(own, "origin").join(s.withColumnRenamed("target", "node"), "node").where(~F.coalesce((F.col("own.project_key") == F.col("project_key")) & (F.col("own.stem") == F.col("stem")), F.lit(False)))
+    direct = near.join(t.select(F.col("test").alias("node")), "node", "left_semi").select(F.explode("outs").alias("target"))
+    kinds = lambda df, n, is_named=False, n_direct=0: df.select("target", n.cast("long").alias("n"), F.lit(is_named).alias("naming"), F.lit(n_direct).cast("long").alias("n_direct"))
+    rows = kinds(inside, F.col("n_up") - F.coalesce("n_alike", F.lit(0))).unionByName(kinds(named, F.col("n_named"), True))
+    rows = rows.unionByName(kinds(others.withColumnRenamed("node", "target"), F.lit(1))).unionByName(kinds(direct, F.lit(0), n_direct=1))
+    rows = rows.groupBy("target").agg(F.sum("n").alias("n_tests"), F.bool_or("naming").alias("naming"), F.sum("n_direct").alias("n_direct"))
     confidence = F.when(F.col("n_direct") > 0, 1.0).when(F.col("naming"), 0.8).otherwise(0.6)
-    return rows.select("target", n_tests.alias("n_tests"), confidence.alias("confidence"), "n_direct").where("n_tests > 0")
+    return rows.select("target", "n_tests", confidence.alias("confidence"), "n_direct").where("n_tests > 0")
 
 
 @query(f"""SELECT target, count(*) AS n_tests, max(CASE WHEN direct = 1 THEN 1.0 WHEN naming = 1 THEN 0.8 ELSE 0.6 END)::DOUBLE AS confidence, count(*) FILTER (direct = 1) AS n_direct FROM {_TEST} GROUP BY 1""")
