@@ -21,10 +21,10 @@ Defined results
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata.session import cut
@@ -305,20 +305,38 @@ def typed_table(maps: DataFrame) -> DataFrame:
     )
 
 
-def wide_table(maps: DataFrame, columns: dict[str, str]) -> DataFrame:
+def whole_table(maps: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``wide_table`` with others: a map of all paths without a column to their typed values; n_failed_casts has theirs, too.
+
+    A null map has null others, a payload with no such path an empty map. maps is cut, so that its rows keep their numbers.
+    """
+    maps = maps.withColumn("_row", F.monotonically_increasing_id())
+    rest = F.filter("fields", lambda f: ~f["path"].isin(*columns)) if columns else F.col("fields")
+    long = typed_table(maps.select(F.col("_row").alias("name"), "generation_id", "at", rest.alias("fields")))
+    cell = F.struct("column_kind", "raw_kind", "number_value", "boolean_value", "text_value", "cast_failed")
+    others = long.groupBy(F.col("name").alias("_row")).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", cell.alias("cell"))))).alias("others"), F.count_if("cast_failed").alias("_failed")
+    )
+    none = F.map_from_entries(F.filter(F.array(F.struct(F.lit("").alias("path"), F.lit(None).cast(others.schema["others"].dataType.valueType).alias("cell"))), lambda x: F.lit(False)))
+    every = F.when(F.col("fields").isNotNull(), F.coalesce("others", none)).alias("others")
+    return wide_table(maps.join(others, "_row", "left"), columns, F.coalesce(F.col("_failed").cast("int"), F.lit(0)), [every])
+
+
+def wide_table(maps: DataFrame, columns: dict[str, str], failed: Column | None = None, more: Sequence[Column] = ()) -> DataFrame:
     """name, generation_id, at, one column a path, and n_failed_casts; columns: path to ``text``, ``number``, ``boolean`` or ``list``.
 
-    A dot in a path is ``__`` in the name of its column; the three columns before them keep their names.
+    A dot in a path is ``__`` in the name of its column; the three columns before them keep their names. failed: casts that
+    failed elsewhere; more: columns that follow.
     """
     spark_type = {"number": "double", "boolean": "boolean"}
     lookup = F.map_from_entries(F.transform("fields", lambda f: F.struct(f["path"], f["value"])))
     out = maps.withColumn("_m", lookup)
-    cells, failed = [], F.lit(0)
+    cells, failed = [], F.lit(0) if failed is None else failed
     for path, kind in columns.items():
         raw = F.try_element_at("_m", F.lit(path))
         text = F.when(raw.startswith('"'), F.from_json(F.concat(F.lit('{"v":'), raw, F.lit("}")), "v string")["v"]).otherwise(raw)
         cell = text.try_cast(spark_type[kind]) if kind in spark_type else text
         failed = failed + (raw.isNotNull() & cell.isNull()).cast("int")
         name = path.replace(".", "__")
-        cells.append(cell.alias(name if name not in ("name", "generation_id", "at", "n_failed_casts") else f"{name}__"))
-    return out.select("name", "generation_id", "at", *cells, failed.alias("n_failed_casts"))
+        cells.append(cell.alias(name if name not in ("name", "generation_id", "at", "others", "n_failed_casts") else f"{name}__"))
+    return out.select("name", "generation_id", "at", *cells, *more, failed.alias("n_failed_casts"))

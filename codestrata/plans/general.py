@@ -36,12 +36,12 @@ def p3_typed_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_wide_table(spark: SparkSession, folder: str) -> DataFrame:
-    """One row a payload: the paths that most names have, a typed column each, and how many of its values didn't cast."""
+    """One row a payload: the paths that most names have, a typed column each, a map of all others, and how many of its values didn't cast."""
     maps = drift.cut(_maps(spark, folder))
     kinds = drift.column_types(maps)
     held = maps.select("name", F.explode("fields").alias("f")).where("f.kind is not null and f.kind <> 'object'").select("name", "f.path").distinct()
     top = held.groupBy("path").agg(F.count(F.lit(1)).alias("n")).join(kinds.where("column_kind <> 'object'"), "path").orderBy(F.desc("n"), "path").limit(WIDTH).collect()
-    return drift.wide_table(maps, {r["path"]: r["column_kind"] for r in top})
+    return drift.whole_table(maps, {r["path"]: r["column_kind"] for r in top})
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,7 +56,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-WIDTH = 12  # columns of the wide table, a top-k report; the long one has all paths
+WIDTH = 12  # columns of the wide table; all other paths are in its map
 
 QUERIES = {
     "p1_found": p1_found,
