@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from codestrata.operators.relational import top_k_per_group
@@ -23,6 +23,12 @@ def apply_rules(rows: DataFrame, rules: Sequence[tuple[str, str, Column, Column]
     return rows.select("project", "path", F.explode(hits).alias("f")).select("f.rule", "f.severity", "project", "path", "f.detail").distinct()
 
 
+def n_found(rules: Sequence[tuple[str, str, Column, Column]], of: WindowSpec) -> Column:
+    """How many findings ``apply_rules`` has for the rows of a window, without a row for each: the different details of each rule."""
+    details = [F.collect_set(F.when(condition, F.struct(detail.cast("string")))).over(of) for _, _, condition, detail in rules]
+    return sum((F.size(d) for d in details), F.lit(0)).cast("long")
+
+
 def with_policy(findings: DataFrame, policy: DataFrame) -> DataFrame:
     """Adds mode; policy: project, rule (null stands for any), mode. The most exact entry decides."""
     p = policy.select(F.col("project").alias("p_project"), F.col("rule").alias("p_rule"), "mode")

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from codestrata.session import cut
+from codestrata.session import cut, cut_clean, release
 
 
 def build_edges(links: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -105,7 +106,7 @@ def aligned(df: DataFrame, key: str) -> DataFrame:
     was = conf.get("spark.sql.adaptive.enabled")
     conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return cut(df.repartition(key).sortWithinPartitions(key))
+        return cut_clean(df.repartition(key).sortWithinPartitions(key))
     finally:
         conf.set("spark.sql.adaptive.enabled", was)
 
@@ -117,6 +118,22 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return aligned(rows.groupBy("node").agg(F.collect_list("out").alias("outs"), F.collect_list("in").alias("ins")), "node")
 
 
+def adjacency_within(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ``adjacency`` of the edges that ``build_edges`` gives for links(src, dst) and nodes(node), in one plan.
+
+    The links are exchanged three times: by source, where they are made distinct, by target, and by source again.
+    """
+    known = nodes.select("node").where("node is not null").distinct()
+    at = lambda end: known.select(F.col("node").alias(end))
+    links = links.where("src <> dst").select("src", "dst").repartition("src").distinct()
+    links = links.join(at("src"), "src", "left_semi").join(at("dst"), "dst", "left_semi")
+    ins = links.groupBy(F.col("dst").alias("node")).agg(F.collect_list("src").alias("ins"))
+    outs = links.repartition("src").groupBy(F.col("src").alias("node")).agg(F.collect_list("dst").alias("outs"))
+    rows = known.join(outs, "node", "left").join(ins, "node", "left").where("outs is not null or ins is not null")
+    none = F.array().cast(T.ArrayType(known.schema["node"].dataType))
+    return aligned(rows.select("node", F.coalesce("outs", none).alias("outs"), F.coalesce("ins", none).alias("ins")), "node")
+
+
 def weak_components(near: DataFrame) -> DataFrame:
     """node, part: the components of an adjacency, whatever the direction of its links.
 
@@ -125,20 +142,23 @@ def weak_components(near: DataFrame) -> DataFrame:
     """
     linked = F.explode("outs").alias("b")
     points = near.select("node", F.array_min(F.concat("outs", "ins", F.array("node"))).alias("part"))
-    links = near.select(F.col("node").alias("a"), linked)
-    whole = None
+    links, left, whole = near.select(F.col("node").alias("a"), linked), None, None
     while True:
-        points = cut(points)
+        at = cut_clean(points)
         while True:  # each round reads what the one before has written
+            points = at.select("node", "part")
             ahead = points.select(F.col("node").alias("part"), F.col("part").alias("next"))
-            points = cut(points.join(ahead, "part").select("node", F.col("next").alias("part"), (F.col("next") < F.col("part")).alias("moved")))
-            moving = not points.where("moved").isEmpty()
-            points = points.select("node", "part")
-            if not moving:
+            last, at = at, cut_clean(points.join(ahead, "part").select("node", F.col("next").alias("part"), (F.col("next") < F.col("part")).alias("moved")))
+            release(last)
+            if at.where("moved").isEmpty():
                 break
+        points = at.select("node", "part")
         ends = points.select(F.col("node").alias("a"), F.col("part").alias("x"))
         links = links.join(ends, "a").select("x", "b").join(ends.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
-        links = cut(links.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        last, left = left, cut_clean(links.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        links = left
+        if last is not None:
+            release(last)
         whole = points if whole is None else whole.join(points.select(F.col("node").alias("part"), F.col("part").alias("next")), "part", "left").select("node", F.coalesce("next", "part").alias("part"))
         if links.isEmpty():
             return whole
@@ -173,10 +193,10 @@ def reach_by_hubs(near: DataFrame, origins: DataFrame, splits: int = 0) -> tuple
     """
     score = F.struct((F.size("outs").cast("long") * F.size("ins")).alias("n"), "node")
     hubs = near.join(weak_components(near), "node").groupBy("part").agg(F.max(score)["node"].alias("node")).select("node", F.col("node").alias("part"))
-    hubs = cut(hubs)
-    origins = cut(origins.select("node").distinct())
+    hubs = cut_clean(hubs)
+    origins = cut_clean(origins.select("node").distinct())
     down, above = _flood(near, hubs, "outs"), _flood(near, hubs, "ins")
-    up = cut(above.join(origins, "node", "left_semi"))
+    up = cut_clean(above.join(origins, "node", "left_semi"))
     n_links = near.agg(F.sum(F.size("outs").cast("long"))).first()[0] or 0
     sizes = up.groupBy("part").agg(F.count(F.lit(1)).alias("n")).join(down.groupBy("part").agg(F.count(F.lit(1)).alias("m")), "part")
     saved = sizes.agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0
@@ -197,20 +217,27 @@ def reach_by_hubs(near: DataFrame, origins: DataFrame, splits: int = 0) -> tuple
 
 def _rest_pairs(near: DataFrame, starts: DataFrame, down: DataFrame, most: int | None) -> DataFrame | None:
     """origin, node of all pairs but those of an origin that is up and a node that is down; None if they are more than most."""
-    pairs = frontier = cut(starts)
-    n, depth = 0, 0
+    pairs = frontier = cut_clean(starts)
+    n, depth, parts = 0, 0, [pairs]
     while True:
         depth += 1
         step = frontier.join(near, "node").select("origin", F.explode("outs").alias("node"), "is_up").repartition("node").distinct()
         step = step.join(down, "node", "left").where("not is_up or is_down is null").select("origin", "node", "is_up")
-        frontier = cut(step.join(pairs, ["origin", "node"], "left_anti"))
+        frontier = cut_clean(step.join(pairs, ["origin", "node"], "left_anti"))
         found = frontier.count()
         if not found:
             return pairs.where("origin <> node").select("origin", "node")
         n += found
         if most is not None and n > most:
+            release(*parts, frontier)
             return None
-        pairs = cut(pairs.unionByName(frontier)) if depth % 16 == 0 else pairs.unionByName(frontier)
+        pairs = pairs.unionByName(frontier)
+        if depth % 16:
+            parts.append(frontier)
+        else:
+            pairs = cut_clean(pairs)
+            release(*parts)
+            parts = [pairs, frontier]  # the frontier is read once more
 
 
 def reach_counts(edges: DataFrame, origins: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from codestrata.functions.scores import band, capped, clamp, compare, ratio
 from codestrata.operators import findings as fnd
 from codestrata.operators import drift, graph, scans
 from codestrata.operators import relational as rel
-from codestrata.plans.common import EDGE, EXPORT, FILE, KIND, PAYLOAD, edges, exports, files, kind, records
-from codestrata.session import cut, table
+from codestrata.plans.common import EDGE, EXPORT, FILE, KIND, PAYLOAD, adjacency, by_file, edges, exports, files, kind, records
+from codestrata.session import cut, cut_clean, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -37,17 +37,18 @@ _FINDING = f"""(SELECT rule, severity, project, path, detail FROM (
     UNION ALL SELECT 'deep_path', 'high', project_key, rel_path, len(string_split(rel_path, '/'))::VARCHAR FROM {FILE} WHERE len(string_split(rel_path, '/')) > 4) GROUP BY ALL)"""
 
 
+def _rules(path: str) -> list:
+    return [
+        ("large_file", "medium", F.col("size_bytes") > 20000, F.col("size_bytes")),
+        ("no_hash", "low", F.col("hash").isNull(), F.lit("hash")),
+        ("no_language", "low", F.col("language").isNull(), F.lit("language")),
+        ("deep_path", "high", paths.depth(F.col(path)) > 4, paths.depth(F.col(path))),
+    ]
+
+
 def found(spark: SparkSession, folder: str) -> DataFrame:
     f = files(spark, folder).select(F.col("project_key").alias("project"), F.col("rel_path").alias("path"), "size_bytes", "hash", "language")
-    return fnd.apply_rules(
-        f,
-        [
-            ("large_file", "medium", F.col("size_bytes") > 20000, F.col("size_bytes")),
-            ("no_hash", "low", F.col("hash").isNull(), F.lit("hash")),
-            ("no_language", "low", F.col("language").isNull(), F.lit("language")),
-            ("deep_path", "high", paths.depth(F.col("path")) > 4, paths.depth(F.col("path"))),
-        ],
-    )
+    return fnd.apply_rules(f, _rules("path"))
 
 
 @query(f"SELECT * FROM {_FINDING}")
@@ -254,35 +255,49 @@ def _tests_and_sources(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
     return t, f.where("not is_test").select(F.col("file_id").alias("target"), "project_key", "stem")
 
 
-def test_counts(spark: SparkSession, folder: str) -> DataFrame:
+def _numbered(spark: SparkSession, folder: str) -> DataFrame:
+    """file_id, is_test, name, n_named, n_findings: a number for project and stem, the tests of it, and the findings of the path.
+
+    Paths are exchanged by file and by name only; what is written has none. That a hash or a language is there is all that the rules ask.
+    """
+    told = lambda c: F.when(F.col(c).isNotNull(), F.lit("")).alias(c)
+    rows = table(spark, folder, "files").select("file_id", "project_key", "rel_path", "size_bytes", told("hash"), told("language"), "indexed_at", "removed_at")
+    f = by_file(rows).select("file_id", "project_key", "rel_path", "size_bytes", "hash", "language", F.lower(paths.stem(F.col("rel_path"))).alias("stem"), paths.has_fragment(F.col("rel_path"), "tests").alias("is_test"))
+    keys = ["project_key", "stem"]
+    path, name = Window.partitionBy(*keys, "rel_path"), Window.partitionBy(*keys)
+    known = F.col("project_key").isNotNull() & F.col("rel_path").isNotNull()
+    f = f.repartition(*keys).withColumn("n_findings", F.when(known, fnd.n_found(_rules("rel_path"), path)).otherwise(0))
+    f = f.withColumn("name", F.when(known, F.min("file_id").over(name))).withColumn("n_named", F.when(known, F.count_if("is_test").over(name)).otherwise(0))
+    return cut_clean(f.select("file_id", "is_test", "name", "n_named", "n_findings"))
+
+
+def test_counts(f: DataFrame, near: DataFrame) -> DataFrame:
     """target, n_tests, confidence, n_direct: the tests that reach a file by imports, over any number of files, or have its name.
 
     Tests that reach the hub of a component are counted once for all that it reaches, tests of a name once for all
     files of it; those that are both are taken off. Only other pairs are listed.
     """
-    t, s = (cut(df) for df in _tests_and_sources(spark, folder))
-    keys, place = ["project_key", "stem"], ["split", "part"]
-    near = graph.adjacency(edges(spark, folder))
+    t, s = f.where("is_test").select(F.col("file_id").alias("test"), "name"), f.where("not is_test").select(F.col("file_id").alias("target"), "name", "n_named")
+    place = ["split", "part"]
     up, down, rest = graph.reach_by_hubs(near, t.select(F.col("test").alias("node")))
     up, down = up.withColumnRenamed("node", "test"), down.withColumnRenamed("node", "target")
     count = lambda name: F.count(F.lit(1)).alias(name)
-    alike = up.join(t.join(s, keys, "left_semi"), "test").groupBy(*place, *keys).agg(count("n_alike"))
-    inside = s.join(down, "target").join(up.groupBy(*place).agg(count("n_up")), place).join(alike, [*place, *keys], "left")
-    named = s.join(t.groupBy(*keys).agg(count("n_named")), keys)
-    own = t.select(F.col("test").alias("origin"), F.struct(*keys).alias("own"))
-    others = rest.join(own, "origin").join(s.withColumnRenamed("target", "node"), "node").where(~F.coalesce((F.col("own.project_key") == F.col("project_key")) & (F.col("own.stem") == F.col("stem")), F.lit(False)))
+    alike = up.join(t, "test").groupBy(*place, "name").agg(count("n_alike"))
+    inside = s.join(down, "target").join(up.groupBy(*place).agg(count("n_up")), place).join(alike, [*place, "name"], "left")
+    own = t.select(F.col("test").alias("origin"), F.col("name").alias("own"))
+    others = rest.join(own, "origin").join(s.withColumnRenamed("target", "node"), "node").where(~F.coalesce(F.col("own") == F.col("name"), F.lit(False)))
     direct = near.join(t.select(F.col("test").alias("node")), "node", "left_semi").select(F.explode("outs").alias("target"))
     kinds = lambda df, n, is_named=False, n_direct=0: df.select("target", n.cast("long").alias("n"), F.lit(is_named).alias("naming"), F.lit(n_direct).cast("long").alias("n_direct"))
-    rows = kinds(inside, F.col("n_up") - F.coalesce("n_alike", F.lit(0))).unionByName(kinds(named, F.col("n_named"), True))
+    rows = kinds(inside, F.col("n_up") - F.coalesce("n_alike", F.lit(0))).unionByName(kinds(s.where("n_named > 0"), F.col("n_named"), True))
     rows = rows.unionByName(kinds(others.withColumnRenamed("node", "target"), F.lit(1))).unionByName(kinds(direct, F.lit(0), n_direct=1))
     rows = rows.groupBy("target").agg(F.sum("n").alias("n_tests"), F.bool_or("naming").alias("naming"), F.sum("n_direct").alias("n_direct"))
     confidence = F.when(F.col("n_direct") > 0, 1.0).when(F.col("naming"), 0.8).otherwise(0.6)
-    return rows.select("target", "n_tests", confidence.alias("confidence"), "n_direct").where("n_tests > 0")
+    return cut_clean(rows.select("target", "n_tests", confidence.alias("confidence"), "n_direct").where("n_tests > 0"))
 
 
 @query(f"""SELECT target, count(*) AS n_tests, max(CASE WHEN direct = 1 THEN 1.0 WHEN naming = 1 THEN 0.8 ELSE 0.6 END)::DOUBLE AS confidence, count(*) FILTER (direct = 1) AS n_direct FROM {_TEST} GROUP BY 1""")
 def test_impact(spark: SparkSession, folder: str) -> DataFrame:
-    return test_counts(spark, folder)
+    return test_counts(_numbered(spark, folder), adjacency(spark, folder))
 
 
 @query(f"""SELECT f.file_id, coalesce(n, 0) AS n_importers, CASE WHEN coalesce(n, 0) >= 20 THEN 'P0' WHEN coalesce(n, 0) >= 8 THEN 'P1' WHEN coalesce(n, 0) >= 3 THEN 'P2' ELSE 'P3' END AS priority
@@ -552,11 +567,11 @@ def recovery_candidates(spark: SparkSession, folder: str) -> DataFrame:
     FROM {FILE} f LEFT JOIN (SELECT src, count(*) AS n FROM {EDGE} GROUP BY 1) o ON o.src = f.file_id LEFT JOIN (SELECT target, count(*) AS n FROM {_TEST} GROUP BY 1) t ON t.target = f.file_id
     LEFT JOIN (SELECT project, path, count(*) AS n FROM {_FINDING} GROUP BY 1, 2) x ON x.project = f.project_key AND x.path = f.rel_path""")
 def review_cockpit(spark: SparkSession, folder: str) -> DataFrame:
-    """Three left joins to each file, and the reasons to look at it."""
-    links = edges(spark, folder).groupBy(F.col("src").alias("file_id")).agg(F.count(F.lit(1)).alias("n_links"))
-    tests = test_counts(spark, folder).select(F.col("target").alias("file_id"), "n_tests")
-    hits = found(spark, folder).groupBy(F.col("project").alias("project_key"), F.col("path").alias("rel_path")).agg(F.count(F.lit(1)).alias("n_findings"))
-    rows = files(spark, folder).join(links, "file_id", "left").join(tests, "file_id", "left").join(hits, ["project_key", "rel_path"], "left").fillna(0, ["n_links", "n_tests", "n_findings"])
+    """What is joined to each file, and the reasons to look at it."""
+    f, near = _numbered(spark, folder), adjacency(spark, folder)
+    links = near.select(F.col("node").alias("file_id"), F.size("outs").cast("long").alias("n_links"))
+    tests = test_counts(f, near).select(F.col("target").alias("file_id"), "n_tests")
+    rows = f.join(links, "file_id", "left").join(tests, "file_id", "left").fillna(0, ["n_links", "n_tests"])
     reasons = F.array_compact(F.array(F.when(F.col("n_tests") == 0, "untested"), F.when(F.col("n_findings") > 0, "findings"), F.when(F.col("n_links") > 10, "coupled")))
     return rows.select("file_id", "n_links", "n_tests", "n_findings", F.array_join(reasons, ",").alias("reasons"))
 

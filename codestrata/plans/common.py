@@ -25,9 +25,12 @@ KIND = "lower(trim(import_kind))"
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
+    return by_file(table(spark, folder, "files"))
+
+
+def by_file(rows: DataFrame) -> DataFrame:
     return (
-        table(spark, folder, "files")
-        .groupBy("file_id")
+        rows.groupBy("file_id")
         .agg(
             F.min("project_key").alias("project_key"), F.min("rel_path").alias("rel_path"), F.min(F.lower("language")).alias("language"),
             F.max("size_bytes").alias("size_bytes"), F.max("hash").alias("hash"), F.min("indexed_at").alias("indexed_at"),
@@ -41,6 +44,12 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
     return graph.build_edges(links, table(spark, folder, "files").select(F.col("file_id").alias("node")))[0]
 
 
+def adjacency(spark: SparkSession, folder: str) -> DataFrame:
+    """The same edges, as a row for each file."""
+    links = table(spark, folder, "dependencies").select(F.col("source_file_id").alias("src"), F.col("target_file_id").alias("dst"))
+    return graph.adjacency_within(links, table(spark, folder, "files").select(F.col("file_id").alias("node")))
+
+
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """Staged records as they are; a repeated row is there twice."""
     rows = table(spark, folder, "atlas_staging_files").where("stage_kind = 'atlas_record'")

@@ -9,6 +9,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+SHUFFLE_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cpus: int = 8, app: str = "codestrata", memory: str = "12g") -> SparkSession:
@@ -53,6 +54,26 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def cut_clean(df: DataFrame) -> DataFrame:
+    """A cut whose shuffle files go as soon as it is written, not when the driver happens to collect its garbage."""
+    conf = df.sparkSession.conf
+    was = conf.get(SHUFFLE_KEY, "false")
+    conf.set(SHUFFLE_KEY, "true")
+    try:
+        return cut(df.select("*"))  # a plan of its own, which is made under the setting and runs once
+    finally:
+        conf.set(SHUFFLE_KEY, was)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the checkpoints of what ``cut`` gave, once nothing reads them any more."""
+    for df in frames:
+        at = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if at.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at.get())
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
